@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import frequency, packing, tokenizer, topn
+from tessera.llm import frequency, neardup, packing, tokenizer, topn
+from tessera.plans.lineage import cut
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -64,6 +65,33 @@ def p2_ranked(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topn.top_n(table(spark, sf_dir, "hits"), "query_id", "doc_id", "score", 10).select("query_id", "doc_id", "score", "rank")
 
 
+#: Whole words, similarity 0.7, at least ten distinct words.
+WORDS = neardup.Banding(threshold=0.7, shingle=1, min_size=10)
+
+_WORDS = (
+    "WITH w AS (SELECT DISTINCT rtrim(doc_no, ' ') AS doc_no, list_sort(list_distinct(list_filter(regexp_split_to_array(regexp_replace(lower(text), "
+    "'[!-/:-@\\[-`{-~]', '', 'g'), '[ \\t\\r\\n]+'), lambda x: x <> ''))) AS ws FROM passages WHERE text IS NOT NULL), "
+    "s AS (SELECT doc_no, ws, len(ws) AS n FROM w WHERE len(ws) >= 10), u AS (SELECT doc_no, n, hash(ws) AS h, unnest(ws) AS x FROM s), "
+    "p AS (SELECT a.doc_no AS doc_no_a, b.doc_no AS doc_no_b, count(*) / (a.n + b.n - count(*))::DOUBLE AS j FROM u a JOIN u b ON a.x = b.x AND a.doc_no < b.doc_no "
+    "GROUP BY a.doc_no, b.doc_no, a.h, b.h, a.n, b.n) SELECT DISTINCT doc_no_a, doc_no_b FROM p WHERE j >= 0.7 - 1e-12"
+)
+
+
+@query(_WORDS)
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pairs = neardup.record_pairs(neardup.near_duplicates(table(spark, sf_dir, "passages"), "doc_no", "text", WORDS))
+    return pairs.select(F.col("key_a").alias("doc_no_a"), F.col("key_b").alias("doc_no_b"))
+
+
+@query()
+def p5_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    passages = table(spark, sf_dir, "passages")
+    found = neardup.near_duplicates(passages, "doc_no", "text", WORDS)
+    kept = neardup.NearDuplicates(found.members, cut(found.links))
+    groups = neardup.record_groups(kept, passages, "doc_no")
+    return groups.select(F.col("key").alias("doc_no"), F.col("group_key").alias("group_doc_no"), "links")
+
+
 @query()
 def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenizer.token_ids(table(spark, sf_dir, "documents"))
