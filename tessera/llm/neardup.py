@@ -103,16 +103,20 @@ def _identified(how: Banding) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = _Hasher()
         for batch in batches:
-            kept, ids = [], []
+            kept, flat, sizes = [], [], []
             for i, text in enumerate(batch.column(1).to_pylist()):
                 if text is None:
                     continue
                 found = grams(text, how.shingle)
-                if len(found) >= how.min_size and found:
+                if len(found) >= max(1, how.min_size):
                     kept.append(i)
-                    ids.append(int(_mixed(np.array(hasher(found), dtype=np.uint64)).sum()))
+                    sizes.append(len(found))
+                    flat += hasher(found)
+            if not kept:
+                continue
+            starts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
             rows = batch.take(pa.array(kept, pa.int64()))
-            set_id = pa.array(_mixed(np.array(ids, dtype=np.uint64)).view(np.int64))
+            set_id = pa.array(_mixed(np.add.reduceat(_mixed(np.array(flat, dtype=np.uint64)), starts)).view(np.int64))
             yield pa.RecordBatch.from_arrays([set_id, rows.column(0), rows.column(1)], names=["set_id", "key", "text"])
 
     return run
@@ -250,17 +254,21 @@ def near_duplicates(records: DataFrame, key: str, text: str, how: Banding = Band
     """Sets and links of records(key, text). Null texts and sets under ``min_size`` are left out; of a key delivered
     several times each distinct text counts. Keys lose trailing blanks. Other columns are ignored."""
     rows = records.select(F.rtrim(F.col(key).cast("string")).alias("key"), F.col(text).alias("text")).filter(F.col("text").isNotNull() & F.col("key").isNotNull())
-    sets = rows.mapInArrow(_identified(how), "set_id bigint, key string, text string").repartition("set_id")
-    # partitioned by set_id, once: copies collapse and texts are met again for verification without another shuffle
-    texts = sets.groupBy("set_id").agg(F.first("text").alias("text"))
-    members = sets.select("set_id", "key").distinct()
+    identified = "set_id bigint, key string, text string"
+    sets = rows.mapInArrow(_identified(how), identified).repartition("set_id")
+    # partitioned by set_id once: copies collapse, and texts are met again for verification. Every use reads all columns,
+    # so that all share one shuffle
+    texts = sets.groupBy("set_id").agg(F.first("text").alias("text"), F.min("key").alias("_least"))
+    members = sets.groupBy("set_id", "key").agg(F.count("text").alias("_n")).filter("_n > 0").select("set_id", "key")
     bands = "band bigint, set_id bigint, sketch bigint"
 
-    probe = texts.filter(F.pmod("set_id", F.lit(how.probe)) == 0).mapInArrow(_banded(how), bands)
+    some = rows.filter(F.pmod(F.xxhash64("text"), F.lit(how.probe)) == 0).mapInArrow(_identified(how), identified)
+    probe = some.select("set_id", "text").dropDuplicates(["set_id"]).mapInArrow(_banded(how), bands)
     least = max(2, how.crowded // how.probe)
     top = probe.agg(F.expr(f"approx_top_k(band, {how.max_crowded}, {how.max_crowded * 16})").alias("top")).first()["top"] or []
     crowded = [(r["item"], -(-r["count"] * how.probe // how.block)) for r in top if r["count"] >= least]
 
+    texts = texts.filter(F.col("_least").isNotNull())
     banded = texts.mapInArrow(_banded(how), bands)
     pairs = "a bigint, b bigint"
     ordinary = banded
