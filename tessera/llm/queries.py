@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import frequency, neardup, packing, tokenizer, topn
+from tessera.llm import frequency, mojibake, neardup, packing, tokenizer, topn
 from tessera.plans.lineage import cut
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -65,6 +65,25 @@ def p2_ranked(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topn.top_n(table(spark, sf_dir, "hits"), "query_id", "doc_id", "score", 10).select("query_id", "doc_id", "score", "rank")
 
 
+def _damage(spark: SparkSession, sf_dir: str, restoring: bool) -> DataFrame:
+    """Both tables against one model: sound tables from a bounded sample of the corpus, adapted on one of either table."""
+    passages, topics = table(spark, sf_dir, "passages"), table(spark, sf_dir, "topics")
+    model = mojibake.train((table(spark, sf_dir, "documents"), "text", "doc_id"), [(passages, "text", "doc_no"), (topics, "text", "query_id")])
+    of = lambda rows, key, name: mojibake.damaged(rows, key, "text", model, restoring).withColumn("tbl", F.lit(name))
+    both = of(passages.withColumn("doc_no", F.rtrim("doc_no")), "doc_no", "passages").unionByName(of(topics, "query_id", "topics"))
+    return both.filter(F.col("key").isNotNull()).withColumnRenamed("key", "rec_key")
+
+
+@query()
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _damage(spark, sf_dir, False).select("tbl", "rec_key").distinct()
+
+
+@query()
+def p4_restored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _damage(spark, sf_dir, True).select("tbl", "rec_key", "damage", "restored", "complete").distinct()
+
+
 #: Whole words, similarity 0.7, at least ten distinct words.
 WORDS = neardup.Banding(threshold=0.7, shingle=1, min_size=10)
 
