@@ -255,7 +255,7 @@ def near_duplicates(records: DataFrame, key: str, text: str, how: Banding = Band
     several times each distinct text counts. Keys lose trailing blanks. Other columns are ignored."""
     rows = records.select(F.rtrim(F.col(key).cast("string")).alias("key"), F.col(text).alias("text")).filter(F.col("text").isNotNull() & F.col("key").isNotNull())
     identified = "set_id bigint, key string, text string"
-    sets = rows.mapInArrow(_identified(how), identified).filter("set_id IS NOT NULL").repartition("set_id")
+    sets = rows.mapInArrow(_identified(how), identified).filter("set_id IS NOT NULL AND key IS NOT NULL").repartition("set_id")
     # partitioned by set_id once: copies collapse, and texts are met again for verification. Every use reads all columns
     # under the same filter, so that all share one shuffle
     texts = sets.groupBy("set_id").agg(F.first("text").alias("text"), F.min("key").alias("_least"))
