@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import frequency, mojibake, neardup, packing, tokenizer, topn
+from tessera.llm import frequency, mojibake, neardup, packing, sentences, tokenizer, topn
 from tessera.plans.lineage import cut
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -119,3 +119,9 @@ def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def p7_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(tokenizer.token_counts(table(spark, sf_dir, "documents")))
+
+
+@query()
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents")
+    return sentences.sentences(documents, sentences.fit(documents))
