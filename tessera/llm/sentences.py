@@ -108,7 +108,7 @@ def shape(token: str) -> str:
     bare = token.strip(".")
     if not bare:
         return "none"
-    if bare.isdigit() or (bare[0].isdigit() and not bare.isalpha()):
+    if any(x.isdigit() for x in bare) and not any(x.isalpha() for x in bare):
         return f"number{min(len(bare), 3)}"
     if len(bare) == 1:
         return "initial" if bare.isupper() else "letter"
@@ -202,6 +202,8 @@ def candidates(text: str, low: int, high: int) -> list[Candidate]:
         if rest == end and following and end == m.end():
             # no blank and no closing mark: only a following capital, ideograph or opening mark is a candidate
             k = kind(following)
+            if marks == "." and following[1:2] == "." and following[0].isupper():
+                continue  # initials written together
             if marks[-1] in ".!?…" and k not in ("upper", "month", "cjk", "open", "camel", "thai", "open-lower"):
                 continue
         before = _BEFORE.search(text, max(low, m.start() - 40), m.start())
@@ -233,10 +235,11 @@ def features(c: Candidate, finals: dict[str, str]) -> list[str]:
     k, t, s = kind(c.following), _marks(c.marks), shape(c.token)
     final = finals.get(_key(c), "unknown")
     word = c.token.lower() if t == "." else ""
+    rare = "w:" + word not in finals
     listed = word.strip(".") in ABBREVIATIONS if t == "." and not c.closers else False
     return [
-        "1", f"t={t}", f"k={k}", f"t={t}&k={k}", f"c={c.closers}&k={k}", f"s={s}&k={k}&t={t}", f"f={final}", f"f={final}&k={k}",
-        f"sp={c.space}&k={k}&t={t}", f"l={listed}", f"l={listed}&k={k}", f"l={listed}&f={final}", f"w={word}", f"w={word}&k={k}",
+        "1", f"t={t}", f"k={k}", f"t={t}&k={k}", f"c={c.closers}&k={k}", f"s={s}&k={k}&t={t}&sp={c.space}", f"f={final}", f"f={final}&k={k}",
+        f"sp={c.space}&k={k}&t={t}", f"l={listed}", f"l={listed}&k={k}", f"l={listed}&f={final}", f"w={'' if rare else word}", f"w={'' if rare else word}&k={k}",
     ]
 
 
@@ -244,7 +247,37 @@ def _paragraphs(text: str) -> list[list[Candidate]]:
     return [candidates(text, a, b) for a, b, item in segments(text) if not item]
 
 
-def train(texts: list[str], epochs: int = 30, rate: float = 0.5, ridge: float = 1e-4) -> Model:
+def _minimum(loss: Callable, w: np.ndarray, rounds: int, memory: int = 10) -> np.ndarray:
+    """Limited-memory quasi-Newton descent with step halving."""
+    value, g = loss(w)
+    past: list[tuple[np.ndarray, np.ndarray, float]] = []
+    for _ in range(rounds):
+        d, alphas = g.copy(), []
+        for step, change, rho in reversed(past):
+            alphas.append(rho * (step @ d))
+            d -= alphas[-1] * change
+        if past:
+            step, change, rho = past[-1]
+            d *= 1 / (rho * (change @ change))
+        for (step, change, rho), alpha in zip(past, reversed(alphas)):
+            d += (alpha - rho * (change @ d)) * step
+        size, slope = (1.0 if past else 1 / max(1.0, float(np.abs(g).sum()))), g @ d
+        while True:
+            v = w - size * d
+            new, h = loss(v)
+            if new <= value - 1e-4 * size * slope or size < 1e-10:
+                break
+            size /= 2
+        step, change = v - w, h - g
+        if value - new < 1e-7 * max(1.0, abs(value)):
+            return v
+        if step @ change > 1e-12:
+            past = [*past[-memory + 1 :], (step, change, 1 / (step @ change))]
+        w, value, g = v, new, h
+    return w
+
+
+def train(texts: list[str], rounds: int = 150, ridge: float = 0.02) -> Model:
     """Weights from reliable boundaries of the texts. Without any text only the listed abbreviations speak."""
     seen, ends = collections.Counter(), collections.Counter()
     examples: list[tuple[Candidate, bool | None]] = []
@@ -270,14 +303,9 @@ def train(texts: list[str], epochs: int = 30, rate: float = 0.5, ridge: float =
                     seen[_key(c)] += 1
                     examples.append((c, None))
     finals = {}
-    for key, n in seen.items():
-        if ends[key]:
-            finals[key] = "some"
-        elif n >= OFTEN:
-            finals[key] = "never"
-        elif n >= 10:
-            finals[key] = "rarely"
-    finals |= {key: "some" for key in ends}
+    for key in seen | ends:
+        if seen[key] + ends[key] >= 10:
+            finals[key] = "some" if ends[key] else "never" if seen[key] >= OFTEN else "rarely"
     rows: collections.Counter = collections.Counter()
     for c, label in examples:
         if label is None:
@@ -288,29 +316,30 @@ def train(texts: list[str], epochs: int = 30, rate: float = 0.5, ridge: float =
     # the listed abbreviations, before capitals and numbers, and the plainest ends of all
     for word in sorted(ABBREVIATIONS):
         for nxt in ("Xx", "7"):
-            rows[(tuple(features(Candidate(0, 0, word, ".", "", "blank", nxt, False), {})), False)] += 2
+            rows[(tuple(features(Candidate(0, 0, word, ".", "", "blank", nxt, False), finals)), False)] += 2
     for word in ("7", "12"):
-        rows[(tuple(features(Candidate(0, 0, word, ".", "", "blank", "Mai", False), {})), False)] += 4000
+        rows[(tuple(features(Candidate(0, 0, word, ".", "", "blank", "Mai", False), finals)), False)] += 4000
+    for word, space in (("A", "none"), ("A.B", "none"), ("Ph", "none")):
+        rows[(tuple(features(Candidate(0, 0, word, ".", "", space, "X", False), finals)), False)] += 4000
     for word in ("A", "b"):
-        rows[(tuple(features(Candidate(0, 0, word, ".", "", "blank", "Xx", False), {})), False)] += 400
+        rows[(tuple(features(Candidate(0, 0, word, ".", "", "blank", "Xx", False), finals)), False)] += 400
     for mark in "。？！":
         for closer in "”」』":
-            rows[(tuple(features(Candidate(0, 0, "", mark, closer, "none", "一", False), {})), False)] += 4000
+            rows[(tuple(features(Candidate(0, 0, "", mark, closer, "none", "一", False), finals)), False)] += 4000
     for mark, nxt, space in ((".", "Xx", "blank"), ("!", "Xx", "blank"), ("?", "Xx", "blank"), ("…", "Xx", "blank"), (".", "7", "blank"), ("。", "一", "none"), ("！", "一", "none"), ("？", "一", "none"), ("।", "क", "blank"), ("؟", "ا", "blank"), (".", "ا", "blank"), (".", "一", "none"), ("?", "一", "none"), ("!", "Xx", "none"), ("?", "Xx", "none"), (".", "“X", "blank"), (".", "eXx", "blank"), (".", "Xx", "none"), (".", "—Xx", "blank")):
-        rows[(tuple(features(Candidate(0, 0, "words", mark, "", space, nxt, False), {})), True)] += 200
+        rows[(tuple(features(Candidate(0, 0, "words", mark, "", space, nxt, False), finals)), True)] += 200
     names = {f: i for i, f in enumerate(sorted({f for fs, _ in rows for f in fs}))}
     x = np.array([[names[f] for f in fs] for fs, _ in rows])
     y = np.array([label for _, label in rows], dtype=np.float64)
     n = np.sqrt(np.array(list(rows.values()), dtype=np.float64))  # templates repeat; their weight grows slower than they do
-    w, g2 = np.zeros(len(names)), np.full(len(names), 1e-6)
-    rng = np.random.default_rng(7)
-    for _ in range(epochs):
-        for batch in np.array_split(rng.permutation(len(y)), max(1, len(y) // 256)):
-            xb = x[batch]
-            p = 1 / (1 + np.exp(-w[xb].sum(axis=1)))
-            g = np.bincount(xb.ravel(), weights=np.repeat((p - y[batch]) * n[batch], x.shape[1]), minlength=len(names)) + ridge * w * len(batch)
-            g2 += g * g
-            w -= rate * g / np.sqrt(g2)
+
+    def loss(w: np.ndarray) -> tuple[float, np.ndarray]:
+        z = w[x].sum(axis=1)
+        p = 1 / (1 + np.exp(-np.clip(z, -40, 40)))
+        g = np.bincount(x.ravel(), weights=np.repeat((p - y) * n, x.shape[1]), minlength=len(names)) + ridge * w
+        return float((n * (np.logaddexp(0, z) - y * z)).sum() + ridge * (w @ w) / 2), g
+
+    w = _minimum(loss, np.zeros(len(names)), rounds)
     return Model({f: float(w[i]) for f, i in names.items()}, finals)
 
 
