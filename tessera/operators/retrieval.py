@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import scoring as weights
 from tessera.functions import text
+from tessera.operators import blocks
 from tessera.operators.index import Index
 from tessera.operators.ranking import top_k
 
@@ -48,25 +49,53 @@ def _ranked(weighted: DataFrame, k: int, conjunctive: bool) -> DataFrame:
     return top_k(scored, "query_id", "score", "doc_id", k).select("query_id", "rank", "doc_id", "score")
 
 
+def _in_blocks(index: Index, queries: DataFrame, scoring: str, k: int, conjunctive: bool, tf_log: str, prune: bool) -> DataFrame | None:
+    """The query set sent to blocks of documents; null where it is too large to be sent."""
+    bound = {"tfidf": "max_tfidf", "bm25": "ub_bm25_safe"}.get(scoring)
+    if bound is None:
+        raise ValueError(f"unknown scoring: {scoring}")
+    known = _known(index, queries).select("query_id", "term", "n_terms", "idf", bound).limit(blocks.MAX_QUERY_TERMS + 1).collect()
+    if len(known) > blocks.MAX_QUERY_TERMS:
+        return None
+    sent, terms = blocks.query_set(known, bound)
+    names = F.broadcast(index.postings.sparkSession.createDataFrame(terms, "number long, term string, idf double"))
+    w = weights.weight(scoring, F.col("tf"), F.col("idf"), F.col("doc_len"), F.lit(index.stats.avgdl), tf_log=tf_log)
+    found = blocks.evaluate(index.postings.join(names, "term").select("doc_id", "number", w.alias("w")), sent, max(k, 1), conjunctive, prune)
+    kind = queries.schema["query_id"].dataType
+    ranked = top_k(found, "query_id", "score", "doc_id", k)
+    return ranked.select(F.col("query_id").cast(kind).alias("query_id"), "rank", "doc_id", "score")
+
+
 def daat(index: Index, queries: DataFrame, scoring: str = "bm25", k: int = 10, conjunctive: bool = False, tf_log: str = "log10") -> DataFrame:
-    """Exhaustive evaluation: one join on term, one aggregation on (query, document), one grouped top-k."""
+    """Exhaustive evaluation, in blocks of documents; for very large query sets by join, aggregation and grouped top-k."""
+    found = _in_blocks(index, queries, scoring, k, conjunctive, tf_log, prune=False)
+    return daat_join(index, queries, scoring, k, conjunctive, tf_log) if found is None else found
+
+
+def daat_join(index: Index, queries: DataFrame, scoring: str = "bm25", k: int = 10, conjunctive: bool = False, tf_log: str = "log10") -> DataFrame:
+    """Exhaustive evaluation as one join on term, one aggregation on (query, document) and one grouped top-k."""
     return _ranked(_weighted(index, _known(index, queries), scoring, tf_log), k, conjunctive)
 
 
 def maxscore(index: Index, queries: DataFrame, scoring: str = "bm25", k: int = 10, conjunctive: bool = False, tf_log: str = "log10") -> DataFrame:
-    """Upper-bound pruning in one plan, without collecting thresholds.
+    """Upper-bound pruning, in blocks of documents against the running k-th score of each query; for very large query
+    sets by ``maxscore_join``. Conjunctive matching has nothing to prune this way and is evaluated exhaustively."""
+    if conjunctive:
+        return daat(index, queries, scoring, k, True, tf_log)
+    if tf_log != "log10" and scoring == "bm25":
+        raise ValueError("the stored bounds hold for the base 10 logarithm")
+    found = _in_blocks(index, queries, scoring, k, False, tf_log, prune=True)
+    return maxscore_join(index, queries, scoring, k) if found is None else found
+
+
+def maxscore_join(index: Index, queries: DataFrame, scoring: str = "bm25", k: int = 10) -> DataFrame:
+    """Upper-bound pruning as joins in one plan, without collecting thresholds.
 
     1. Terms of a query are ordered by their safe bound; running sums of the bounds tell what the weakest terms can add.
     2. The strongest term alone gives each query a lower bound of its k-th score (none when it has fewer than k documents).
     3. Terms whose running sum stays below that threshold are non-essential: a document found only there cannot qualify.
     4. Non-essential postings are read only for documents of the essential ones.
-
-    Conjunctive matching has nothing to prune this way and takes the exhaustive plan.
     """
-    if conjunctive:
-        return daat(index, queries, scoring, k, True, tf_log)
-    if tf_log != "log10" and scoring == "bm25":
-        raise ValueError("the stored bounds hold for the base 10 logarithm")
     bound = {"tfidf": "max_tfidf", "bm25": "ub_bm25_safe"}.get(scoring)
     if bound is None:
         raise ValueError(f"unknown scoring: {scoring}")
@@ -77,12 +106,12 @@ def maxscore(index: Index, queries: DataFrame, scoring: str = "bm25", k: int = 1
         .withColumn("cum", F.sum(bound).over(order.rowsBetween(Window.unboundedPreceding, 0)))
         .withColumn("place", F.row_number().over(down))
     )
-    probe = _weighted(index, terms.filter(F.col("place") == 1), scoring, tf_log)
+    probe = _weighted(index, terms.filter(F.col("place") == 1), scoring, "log10")
     kth = top_k(probe, "query_id", "w", "doc_id", k).filter(F.col("rank") == max(k, 1)).select("query_id", F.col("w").alias("theta"))
     split = terms.join(kth, "query_id", "left").withColumn("weak", F.col("cum") < F.coalesce(F.col("theta"), F.lit(0.0)) - _SLACK)
-    essential = _weighted(index, split.filter(~F.col("weak")), scoring, tf_log)
+    essential = _weighted(index, split.filter(~F.col("weak")), scoring, "log10")
     candidates = essential.select("query_id", "doc_id").distinct()
-    rest = _weighted(index, split.filter("weak"), scoring, tf_log).join(candidates, ["query_id", "doc_id"], "left_semi")
+    rest = _weighted(index, split.filter("weak"), scoring, "log10").join(candidates, ["query_id", "doc_id"], "left_semi")
     return _ranked(essential.unionByName(rest), k, False)
 
 
