@@ -327,7 +327,8 @@ def train(texts: list[str], rounds: int = 150, ridge: float = 0.02) -> Model:
         for closer in "”」』":
             rows[(tuple(features(Candidate(0, 0, "", mark, closer, "none", "一", False), finals)), False)] += 4000
     for mark, nxt, space in ((".", "Xx", "blank"), ("!", "Xx", "blank"), ("?", "Xx", "blank"), ("…", "Xx", "blank"), (".", "7", "blank"), ("。", "一", "none"), ("！", "一", "none"), ("？", "一", "none"), ("।", "क", "blank"), ("؟", "ا", "blank"), (".", "ا", "blank"), (".", "一", "none"), ("?", "一", "none"), ("!", "Xx", "none"), ("?", "Xx", "none"), (".", "“X", "blank"), (".", "eXx", "blank"), (".", "Xx", "none"), (".", "—Xx", "blank")):
-        rows[(tuple(features(Candidate(0, 0, "words", mark, "", space, nxt, False), finals)), True)] += 200
+        for token in ("two", "four", "words", "Four", "Words") if mark == "." else ("words",):
+            rows[(tuple(features(Candidate(0, 0, token, mark, "", space, nxt, False), finals)), True)] += 200
     names = {f: i for i, f in enumerate(sorted({f for fs, _ in rows for f in fs}))}
     x = np.array([[names[f] for f in fs] for fs, _ in rows])
     y = np.array([label for _, label in rows], dtype=np.float64)
