@@ -19,6 +19,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera.llm import sampling
+
 #: Most texts the classifier is trained on.
 SAMPLE = 5_000
 #: A token seen so often before a mark, and never at the end of a paragraph, does not end sentences.
@@ -404,9 +406,8 @@ def _split(model) -> Callable:
 
 
 def fit(documents: DataFrame, sample: int = SAMPLE) -> Model:
-    """A classifier from at most ``sample`` non-empty texts, those with the smallest hash of doc_id: the same on every run."""
-    chosen = documents.select("text", F.xxhash64("doc_id").alias("h")).filter(F.length("text") > 0).orderBy("h", "text").limit(sample)
-    return train([r["text"] for r in chosen.select("text").collect()])
+    """A classifier from at most ``sample`` non-empty texts, the same ones on every run."""
+    return train(sampling.texts(documents, "text", "doc_id", sample))
 
 
 def sentences(documents: DataFrame, model: Model) -> DataFrame:
