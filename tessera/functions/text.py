@@ -29,8 +29,7 @@ def tokens(text: Column, stop_words: Sequence[str] | None = None, stem: bool = F
     """
     out = F.filter(F.split(F.coalesce(clean(text), F.lit("")), " "), lambda t: t != "")
     if stop_words:
-        stops = F.array(*[F.lit(w) for w in sorted(set(stop_words))])
-        out = F.filter(out, lambda t: ~F.array_contains(stops, t))
+        out = F.filter(out, lambda t: ~t.isin(sorted(set(stop_words))))
     if stem:
         from tessera.functions.stemmer import stem_tokens
 
