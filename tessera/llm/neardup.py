@@ -61,12 +61,13 @@ def words(text: str) -> list[bytes]:
     return [w for w in text.lower().encode("utf-8", "surrogatepass").translate(_BLANKS, _PUNCTUATION).split(b" ") if w]
 
 
+def _grams(found: list[bytes], n: int) -> set[bytes]:
+    return {b" ".join(found[i : i + n]) for i in range(max(1, len(found) - n + 1))} if found else set()
+
+
 def grams(text: str, n: int) -> set[bytes]:
     """Distinct word n-grams; a text of fewer than n words is one gram of all its words."""
-    found = words(text)
-    if n == 1:
-        return set(found)
-    return {b" ".join(found[i : i + n]) for i in range(max(1, len(found) - n + 1))} if found else set()
+    return set(words(text)) if n == 1 else _grams(words(text), n)
 
 
 class _Hasher:
@@ -98,26 +99,29 @@ def _mixed(x: np.ndarray) -> np.ndarray:
 
 
 def _identified(how: Banding) -> Callable:
-    """(key, text) to (set_id, key, text) for sets of at least min_size grams. set_id: order-free 64-bit sum of mixed hashes."""
+    """(key, text) to (set_id, key, text) for sets of at least min_size grams. set_id: order-free 64-bit sum of mixed hashes.
+    The text goes on as what its n-grams need: its words, for single words each once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = _Hasher()
         for batch in batches:
-            kept, flat, sizes = [], [], []
+            kept, flat, sizes, bare = [], [], [], []
             for i, text in enumerate(batch.column(1).to_pylist()):
                 if text is None:
                     continue
-                found = grams(text, how.shingle)
+                listed = words(text)
+                found = set(listed) if how.shingle == 1 else _grams(listed, how.shingle)
                 if len(found) >= max(1, how.min_size):
                     kept.append(i)
                     sizes.append(len(found))
                     flat += hasher(found)
+                    bare.append(b" ".join(dict.fromkeys(listed) if how.shingle == 1 else listed).decode("utf-8", "surrogatepass"))
             if not kept:
                 continue
             starts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
             rows = batch.take(pa.array(kept, pa.int64()))
             set_id = pa.array(_mixed(np.add.reduceat(_mixed(np.array(flat, dtype=np.uint64)), starts)).view(np.int64))
-            yield pa.RecordBatch.from_arrays([set_id, rows.column(0), rows.column(1)], names=["set_id", "key", "text"])
+            yield pa.RecordBatch.from_arrays([set_id, rows.column(0), pa.array(bare, pa.string())], names=["set_id", "key", "text"])
 
     return run
 
