@@ -3,7 +3,8 @@
 A bounded sketch names the terms that hold most rows. Their list, at most ``max_heavy`` long whatever the data, is
 broadcast; their rows are counted where they are read, into exact bit arrays over document ranges of 32,768, and only
 those arrays move. The rows of all other terms, none of which is large, are shuffled by term once. Both count tables are
-united. Being named or not changes where a term is counted, never its count.
+united. Where document ids are so scattered that bit arrays would be nearly empty, a heavy term's rows are spread by term
+and document instead. Being named or not changes where a term is counted, never its count.
 """
 
 from __future__ import annotations
@@ -19,13 +20,15 @@ SPARSEST = 256
 
 
 def heavy_terms(postings: DataFrame, max_heavy: int = MAX_HEAVY, sparsest: int = SPARSEST) -> DataFrame:
-    """term: the candidates for local counting, at most ``max_heavy``, from one pass of a mergeable frequent-items sketch."""
+    """term, dense: at most ``max_heavy`` terms with at least one in ``2 * max_heavy`` of all rows, or dense ones, from
+    one pass of a mergeable frequent-items sketch. dense: bit arrays over its documents are worth their room."""
     found = postings.filter(F.col("term").isNotNull()).agg(
-        F.expr(f"approx_top_k(term, {max_heavy}, {SKETCH_ITEMS})").alias("top"),
-        (F.max("doc_id") - F.min("doc_id") + 1).alias("span"),
+        F.expr(f"approx_top_k(term, {max_heavy}, {SKETCH_ITEMS})").alias("top"), F.count(F.lit(1)).alias("rows"),
+        F.min("doc_id").alias("low"), F.max("doc_id").alias("high"),
     ).first()
-    top = [r["item"] for r in found["top"] or [] if r["count"] * sparsest >= (found["span"] or 1)]
-    return postings.sparkSession.createDataFrame([(t,) for t in top], "term string")
+    span = (found["high"] or 0) - (found["low"] or 0) + 1
+    top = [(r["item"], r["count"] * sparsest >= span, r["count"] * 2 * max_heavy >= found["rows"]) for r in found["top"] or []]
+    return postings.sparkSession.createDataFrame([(t, dense) for t, dense, large in top if dense or large], "term string, dense boolean")
 
 
 def term_frequencies(postings: DataFrame, max_heavy: int = MAX_HEAVY, sparsest: int = SPARSEST) -> DataFrame:
@@ -37,23 +40,28 @@ def term_frequencies(postings: DataFrame, max_heavy: int = MAX_HEAVY, sparsest:
     """
     rows = postings.select(F.rtrim("term").alias("term"), F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("tf", F.lit(0)).cast("long").alias("tf"))
     rows = rows.filter(F.col("term").isNotNull())
-    heavy = F.broadcast(heavy_terms(rows, max_heavy, sparsest))
+    heavy = heavy_terms(rows, max_heavy, sparsest)
+    known = F.broadcast(heavy)
     arrays = (
-        rows.join(heavy, "term", "left_semi")
+        rows.join(F.broadcast(heavy.filter("dense")), "term", "left_semi")
         .groupBy("term", F.bitmap_bucket_number(F.coalesce("doc_id", F.lit(0))).alias("range"))
-        .agg(
-            F.bitmap_construct_agg(F.bitmap_bit_position("doc_id")).alias("docs"), F.sum("tf").alias("tf"),
-        )
+        .agg(F.bitmap_construct_agg(F.bitmap_bit_position("doc_id")).alias("docs"), F.sum("tf").alias("tf"))
         .select("term", F.when(F.length("docs") > 0, F.bitmap_count("docs")).otherwise(0).alias("n"), "tf")
     )
     heavy_counts = arrays.groupBy("term").agg(F.sum("n").cast("long").alias("df"), F.sum("tf").alias("cf"))
-    light = rows.join(heavy, "term", "left_anti").repartition("term")
+    spread = (
+        rows.join(F.broadcast(heavy.filter("NOT dense")), "term", "left_semi")
+        .groupBy("term", "doc_id").agg(F.sum("tf").alias("tf"))
+        .groupBy("term").agg(F.count("doc_id").alias("df"), F.sum("tf").alias("cf"))
+    )
+    light = rows.join(known, "term", "left_anti").repartition("term")
     # partitioned by term already: neither the distinct nor the count moves a row again
     light_counts = (
         light.groupBy("term", "doc_id").agg(F.sum("tf").alias("tf"))
         .groupBy("term").agg(F.count("doc_id").alias("df"), F.sum("tf").alias("cf"))
     )
-    return heavy_counts.unionByName(light_counts)
+    counts = heavy_counts.unionByName(light_counts)
+    return counts.unionByName(spread) if heavy.filter("NOT dense").first() else counts
 
 
 def marked(frequencies: DataFrame, doc_index: DataFrame, rare_below: int = 3, common_percent: int = 40) -> DataFrame:

@@ -100,10 +100,12 @@ def _mixed(x: np.ndarray) -> np.ndarray:
 
 def _identified(how: Banding) -> Callable:
     """(key, text) to (set_id, key, text) for sets of at least min_size grams. set_id: order-free 64-bit sum of mixed hashes.
-    The text goes on as what its n-grams need: its words, for single words each once."""
+    The text goes on as what its n-grams need: its words, for single words each once; and only with the first of equal
+    sets that a task meets, so that many copies send little."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = _Hasher()
+        met: set[int] = set()
         for batch in batches:
             kept, flat, sizes, bare = [], [], [], []
             for i, text in enumerate(batch.column(1).to_pylist()):
@@ -120,8 +122,15 @@ def _identified(how: Banding) -> Callable:
                 continue
             starts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
             rows = batch.take(pa.array(kept, pa.int64()))
-            set_id = pa.array(_mixed(np.add.reduceat(_mixed(np.array(flat, dtype=np.uint64)), starts)).view(np.int64))
-            yield pa.RecordBatch.from_arrays([set_id, rows.column(0), pa.array(bare, pa.string())], names=["set_id", "key", "text"])
+            set_id = _mixed(np.add.reduceat(_mixed(np.array(flat, dtype=np.uint64)), starts)).view(np.int64)
+            if len(met) > 2_000_000:
+                met.clear()
+            for i, x in enumerate(set_id.tolist()):
+                if x in met:
+                    bare[i] = None
+                else:
+                    met.add(x)
+            yield pa.RecordBatch.from_arrays([pa.array(set_id), rows.column(0), pa.array(bare, pa.string())], names=["set_id", "key", "text"])
 
     return run
 
@@ -259,20 +268,20 @@ def near_duplicates(records: DataFrame, key: str, text: str, how: Banding = Band
     several times each distinct text counts. Keys lose trailing blanks. Other columns are ignored."""
     rows = records.select(F.rtrim(F.col(key).cast("string")).alias("key"), F.col(text).alias("text")).filter(F.col("text").isNotNull() & F.col("key").isNotNull())
     identified = "set_id bigint, key string, text string"
-    sets = rows.mapInArrow(_identified(how), identified).filter("set_id IS NOT NULL AND key IS NOT NULL").repartition("set_id")
-    # partitioned by set_id once: copies collapse, and texts are met again for verification. Every use reads all columns
-    # under the same filter, so that all share one shuffle
-    texts = sets.groupBy("set_id").agg(F.first("text").alias("text"), F.min("key").alias("_least"))
-    members = sets.groupBy("set_id", "key").agg(F.count("text").alias("_n")).filter("_n > 0").select("set_id", "key")
+    named = rows.mapInArrow(_identified(how), identified).filter("set_id IS NOT NULL AND key IS NOT NULL")
+    # one text a set, partitioned by set_id once and met again for verification: every use reads the same columns under
+    # the same filter, so that all share one shuffle. A set that a third of all records share sends one row a task
+    texts = named.filter("text IS NOT NULL").select("set_id", "text").repartition("set_id").groupBy("set_id").agg(F.first("text").alias("text"))
+    # by both columns, so that the members of one set spread
+    members = named.select("set_id", "key").distinct()
     bands = "band bigint, set_id bigint, sketch bigint"
 
     some = rows.filter(F.pmod(F.xxhash64("text"), F.lit(how.probe)) == 0).mapInArrow(_identified(how), identified)
-    probe = some.select("set_id", "text").dropDuplicates(["set_id"]).mapInArrow(_banded(how), bands)
+    probe = some.filter("text IS NOT NULL").select("set_id", "text").dropDuplicates(["set_id"]).mapInArrow(_banded(how), bands)
     least = max(2, how.crowded // how.probe)
     top = probe.agg(F.expr(f"approx_top_k(band, {how.max_crowded}, {how.max_crowded * 16})").alias("top")).first()["top"] or []
     crowded = [(r["item"], -(-r["count"] * how.probe // how.block)) for r in top if r["count"] >= least]
 
-    texts = texts.filter(F.col("_least").isNotNull())
     banded = texts.mapInArrow(_banded(how), bands)
     pairs = "a bigint, b bigint"
     ordinary = banded
