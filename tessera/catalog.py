@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,6 +11,9 @@ from pyspark.sql import functions as F
 from tessera.functions import codec, text
 from tessera.functions.stopwords import ENGLISH
 from tessera.operators import evaluate, index, ranking, retrieval, tree
+from tessera.plans.engine import SearchEngine
+from tessera.plans.lineage import ensure_checkpoint_dir
+from tessera.streaming import ingest
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -59,12 +63,13 @@ _TFIDF = "(1 + log10(tf)) * idf"
 _QTERMS = f"q AS (SELECT query_id, term, count(*) OVER (PARTITION BY query_id) AS n_terms FROM (SELECT DISTINCT query_id, unnest({_TOKENS.format('text')}) AS term FROM topics))"
 
 
-def _search_sql(weight: str, conjunctive: bool = False) -> str:
+def _search_sql(weight: str, conjunctive: bool = False, numbered: bool = False) -> str:
+    extra, more = ("doc_no, ", " JOIN docs USING (doc_id)") if numbered else ("", "")
     having = " HAVING count(*) = max(n_terms)" if conjunctive else ""
     return (
         f"WITH {_POSTINGS}, {_QTERMS}, s AS (SELECT query_id, doc_id, round(sum({weight}), 9) AS score FROM q JOIN lex USING (term) "
         f"JOIN post USING (term), st GROUP BY query_id, doc_id{having}), r AS (SELECT *, row_number() OVER (PARTITION BY query_id "
-        "ORDER BY score DESC, doc_id) AS rank FROM s) SELECT query_id, rank::INTEGER AS rank, doc_id, round(score, 6) AS score FROM r WHERE rank <= 10"
+        f"ORDER BY score DESC, doc_id) AS rank FROM s) SELECT query_id, rank::INTEGER AS rank, doc_id, {extra}round(score, 6) AS score FROM r{more} WHERE rank <= 10"
     )
 
 
@@ -286,6 +291,39 @@ def evaluation_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("queries", *[F.round(c, 6).alias(c) for c in ("map", "mean_precision", "mean_recall", "mean_dcg", "std_dcg")])
 
 
+@query(
+    "WITH o AS (SELECT spimi_block, rtrim(term, ' ') AS term, df, max(max_tfidf) AS t, max(max_bm25) AS b FROM lexicon WHERE term IS NOT NULL GROUP BY 1, 2, 3), "
+    "m AS (SELECT term, sum(coalesce(df, 0))::BIGINT AS df, max(t) AS max_tfidf, max(b) AS max_bm25 FROM o GROUP BY term) "
+    "SELECT term, df, CASE WHEN df < 512 THEN 1 ELSE ceil(sqrt(df)) END::INTEGER AS num_blocks, max_tfidf, max_bm25 FROM m"
+)
+def merged_lexicons(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return index.merge_lexicons(table(spark, sf_dir, "lexicon"))
+
+
+@query(
+    "SELECT p.term, p.doc_id, p.tf, d.doc_len FROM (SELECT rtrim(term, ' ') AS term, doc_id, max(coalesce(tf, 0)) AS tf FROM postings WHERE term IS NOT NULL "
+    "GROUP BY 1, 2) p LEFT JOIN (SELECT doc_id, max(doc_len) AS doc_len FROM doc_index GROUP BY doc_id) d USING (doc_id)"
+)
+def posting_lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return index.with_lengths(table(spark, sf_dir, "postings"), table(spark, sf_dir, "doc_index"))
+
+
+@query(_search_sql(_BM25.format(log="log10"), numbered=True))
+def engine_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The facade, with document numbers."""
+    engine = SearchEngine(_index(spark, sf_dir))
+    return engine.search_batch(_topics(spark, sf_dir)).withColumn("score", F.round("score", 6))
+
+
+@query(f"WITH {_POSTINGS} SELECT term, df, max_tf, round(idf, 6) AS idf FROM lex")
+def streamed_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents fed as a stream of one file, merged; equal to the index built at once."""
+    path = f"{ensure_checkpoint_dir(spark)}/streamed-{uuid.uuid4().hex}"
+    stream = spark.readStream.schema(table(spark, sf_dir, "documents").schema).parquet(f"{sf_dir}/documents.parquet*")
+    ingest.start(stream.select("doc_id", "doc_no", "text"), path, f"{path}-state").awaitTermination()
+    return ingest.merged(spark, path).lexicon.select("term", "df", "max_tf", F.round("idf", 6).alias("idf"))
+
+
 _P3 = (
     "WITH p AS (SELECT rtrim(term, ' ') AS term, count(DISTINCT doc_id) AS n_docs FROM postings WHERE term IS NOT NULL GROUP BY 1), "
     "l AS (SELECT term, sum(coalesce(df, 0))::BIGINT AS lexicon_df FROM (SELECT DISTINCT spimi_block, rtrim(term, ' ') AS term, df FROM lexicon "

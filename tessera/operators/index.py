@@ -133,3 +133,25 @@ def df_histogram(lexicon: DataFrame) -> DataFrame:
 
 def top_df_terms(lexicon: DataFrame, k: int) -> DataFrame:
     return lexicon.select("term", "df").orderBy(F.col("df").desc(), "term").limit(k)
+
+
+def merge_lexicons(partials: DataFrame) -> DataFrame:
+    """One row a term of partial lexicons(spimi_block, term, df, max_tfidf, max_bm25): term, df, num_blocks, bounds.
+
+    Terms lose trailing blanks; null terms are left aside; a (block, term, df) counts once, a null df as 0, null bounds not
+    at all. df adds up over blocks, bounds take their maximum, the number of posting blocks follows from the merged df.
+    """
+    rows = partials.filter(F.col("term").isNotNull()).select("spimi_block", F.rtrim("term").alias("term"), "df", "max_tfidf", "max_bm25")
+    once = rows.groupBy("spimi_block", "term", "df").agg(F.max("max_tfidf").alias("max_tfidf"), F.max("max_bm25").alias("max_bm25"))
+    merged = once.groupBy("term").agg(
+        F.sum(F.coalesce("df", F.lit(0))).cast("long").alias("df"), F.max("max_tfidf").alias("max_tfidf"), F.max("max_bm25").alias("max_bm25")
+    )
+    return merged.select("term", "df", block_count(F.col("df")).alias("num_blocks"), "max_tfidf", "max_bm25")
+
+
+def with_lengths(postings: DataFrame, doc_index: DataFrame) -> DataFrame:
+    """Postings(term, doc_id, tf) with ``doc_len`` of their documents: terms trimmed and non-null, repeated (term, doc_id)
+    once with their largest tf (null counts as 0). Unknown documents and unknown lengths give a null length."""
+    lengths = doc_index.groupBy("doc_id").agg(F.max("doc_len").alias("doc_len"))
+    once = postings.filter(F.col("term").isNotNull()).groupBy(F.rtrim("term").alias("term"), "doc_id").agg(F.max(F.coalesce("tf", F.lit(0))).alias("tf"))
+    return once.join(lengths, "doc_id", "left").select("term", "doc_id", "tf", "doc_len")
