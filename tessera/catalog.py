@@ -13,6 +13,7 @@ from tessera.functions.stopwords import ENGLISH
 from tessera.operators import evaluate, index, ranking, retrieval, tree
 from tessera.plans.engine import SearchEngine
 from tessera.plans.lineage import ensure_checkpoint_dir
+from tessera.sources import collection
 from tessera.streaming import ingest
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -35,7 +36,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("doc_id", "doc_no", "text")
+    return collection.spread(table(spark, sf_dir, "documents").select("doc_id", "doc_no", "text"))
 
 
 def _index(spark: SparkSession, sf_dir: str, **how) -> index.Index:
@@ -102,12 +103,12 @@ def stopword_removal(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {_POSTINGS} SELECT term, doc_id, tf, dl::INTEGER AS doc_len FROM post")
 def term_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _index(spark, sf_dir).postings
+    return index.postings_of(index.analysed(_documents(spark, sf_dir)))
 
 
 @query(f"WITH {_DOCS} SELECT doc_id, doc_no, len(tokens)::INTEGER AS doc_len FROM docs")
 def doc_index(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _index(spark, sf_dir).doc_index
+    return index.analysed(_documents(spark, sf_dir)).select("doc_id", "doc_no", "doc_len")
 
 
 @query(f"WITH {_POSTINGS} SELECT n::BIGINT AS num_docs, s::BIGINT AS sum_len, (SELECT count(*) FROM lex) AS num_terms, round(avgdl, 6) AS avgdl FROM st")

@@ -25,6 +25,13 @@ def read_collection(spark: SparkSession, path: str, partitions: int | None = Non
     return lines.select(parts[0].alias("doc_no"), F.get(parts, F.lit(1)).alias("text")).filter(F.col("doc_no") != "")
 
 
+def spread(rows: DataFrame) -> DataFrame:
+    """Rows of a scan over all cores where it has fewer partitions than these: a small or unsplittable file would keep
+    one task busy with all text work. Larger scans, which have partitions enough, stay as they are, without a shuffle."""
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(cores) if rows.rdd.getNumPartitions() < cores else rows
+
+
 def from_rows(spark: SparkSession, rows: list[tuple[str, str | None]]) -> DataFrame:
     return spark.createDataFrame(rows, "doc_no string, text string")
 
