@@ -52,10 +52,10 @@ def analysed(documents: DataFrame, stop_words: Sequence[str] | None = None, stem
 
 def postings_of(docs: DataFrame) -> DataFrame:
     """term, doc_id, tf, doc_len. Counting happens within the row's sorted token array: no shuffle by (doc, term)."""
-    ordered = docs.select("doc_id", "doc_len", F.array_sort(F.transform("tokens", text.index_term)).alias("s")).filter(F.size("s") > 0)
-    starts = ordered.withColumn(
-        "b", F.filter(F.sequence(F.lit(0), F.size("s") - 1), lambda i: (i == 0) | (F.get("s", i) != F.get("s", i - 1)))
-    )
+    ordered = docs.select("doc_id", "doc_len", F.array_sort(F.transform("tokens", text.index_term)).alias("s"))
+    # no filter on empty arrays: it would be pushed below and clean every text twice; inline drops null arrays
+    first = F.filter(F.sequence(F.lit(0), F.size("s") - 1), lambda i: (i == 0) | (F.get("s", i) != F.get("s", i - 1)))
+    starts = ordered.withColumn("b", F.when(F.size("s") > 0, first))
     runs = F.transform("b", lambda p, k: F.struct(F.get("s", p).alias("term"), (F.coalesce(F.get("b", k + 1), F.size("s")) - p).alias("tf")))
     return starts.select("doc_id", "doc_len", F.inline(runs)).select("term", "doc_id", "tf", "doc_len")
 
