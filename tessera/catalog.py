@@ -43,6 +43,10 @@ def _index(spark: SparkSession, sf_dir: str, **how) -> index.Index:
     return index.build(_documents(spark, sf_dir), **how)
 
 
+def _blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return index.blocks_of(index.postings_of(index.analysed(_documents(spark, sf_dir))))
+
+
 def _topics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "topics")
 
@@ -143,8 +147,7 @@ _BLOCKS = (
 
 @query(_BLOCKS + "SELECT * FROM bl")
 def posting_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    built = _index(spark, sf_dir)
-    blocks = index.blocks_of(built.postings, built.lexicon)
+    blocks = _blocks(spark, sf_dir)
     return blocks.select("term", "block_no", "nr_postings", "min_doc_id", "max_doc_id", F.array_join("doc_ids", " ").alias("doc_ids"))
 
 
@@ -153,9 +156,8 @@ def posting_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     "SELECT term, target, min(doc_id) AS doc_id, arg_min(tf, doc_id) AS tf FROM t JOIN post USING (term) WHERE doc_id >= target GROUP BY term, target"
 )
 def next_geq(spark: SparkSession, sf_dir: str) -> DataFrame:
-    built = _index(spark, sf_dir)
     targets = retrieval.parse_queries(_topics(spark, sf_dir)).select("term", (F.col("query_id") % 1000).cast("long").alias("target"))
-    return retrieval.next_geq(index.blocks_of(built.postings, built.lexicon), targets)
+    return retrieval.next_geq(_blocks(spark, sf_dir), targets)
 
 
 @query(
@@ -163,16 +165,14 @@ def next_geq(spark: SparkSession, sf_dir: str) -> DataFrame:
     "FROM (SELECT term, block_no, list_transform(string_split(doc_ids, ' '), lambda x: CAST(x AS BIGINT)) AS l FROM bl)"
 )
 def dgap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    built = _index(spark, sf_dir)
-    blocks = index.blocks_of(built.postings, built.lexicon)
+    blocks = _blocks(spark, sf_dir)
     return blocks.select("term", "block_no", F.array_join(codec.gaps(F.col("doc_ids")), " ").alias("gaps"))
 
 
 @query(_BLOCKS + "SELECT term, block_no, nr_postings, TRUE AS same FROM bl")
 def codec_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every block through the gap, variable-byte and unary codecs and back."""
-    built = _index(spark, sf_dir)
-    b = index.blocks_of(built.postings, built.lexicon)
+    b = _blocks(spark, sf_dir)
     coded = b.withColumn("d", codec.encode_gaps(F.col("doc_ids"))).withColumn("f", codec.encode_unary(F.col("tfs")))
     back = coded.withColumn("d2", codec.decode_gaps(F.col("d"), F.col("min_doc_id"))).withColumn("f2", codec.decode_unary(F.col("f"), F.col("nr_postings")))
     same = (F.col("d2") == F.col("doc_ids")) & (F.col("f2") == F.col("tfs").cast("array<bigint>"))

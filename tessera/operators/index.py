@@ -102,15 +102,15 @@ def build(documents: DataFrame, stop_words: Sequence[str] | None = None, stem: b
     return Index(doc_index, postings, lexicon_of(postings, stats), stats)
 
 
-def blocks_of(postings: DataFrame, lexicon: DataFrame) -> DataFrame:
+def blocks_of(postings: DataFrame) -> DataFrame:
     """Posting blocks: term, block_no, nr_postings, min_doc_id, max_doc_id, doc_ids, tfs (arrays in doc_id order).
 
     Ranks are chunked by doc_id, and a block never exceeds max(511, sqrt(df) + 1) postings, so no task holds a whole
     list of a frequent term.
     """
-    sized = postings.select("term", "doc_id", "tf").join(lexicon.select("term", "df", "num_blocks"), "term")
-    ranked = chunked_row_number(sized, "term", "doc_id", F.floor(F.col("doc_id") / F.lit(RANK_CHUNK)))
-    per_block = F.ceil(F.col("df") / F.col("num_blocks"))
+    chunk = F.floor(F.col("doc_id") / F.lit(RANK_CHUNK))
+    ranked = chunked_row_number(postings.select("term", "doc_id", "tf"), "term", "doc_id", chunk, total="df")
+    per_block = F.ceil(F.col("df") / block_count(F.col("df")))
     return (
         ranked.withColumn("block_no", F.floor(F.col("rank") / per_block).cast("int"))
         .groupBy("term", "block_no")

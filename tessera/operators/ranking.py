@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tessera.plans.lineage import cut
 
 
-def chunked_row_number(df: DataFrame, key: str, order: str, chunk: Column, name: str = "rank") -> DataFrame:
+def chunked_row_number(df: DataFrame, key: str, order: str, chunk: Column, name: str = "rank", total: str | None = None) -> DataFrame:
     """0-based position of each row within ``key`` in ascending ``order``, without one task ever holding a whole key.
 
     ``chunk`` must not decrease along ``order``. Rows are numbered within (key, chunk); the chunk counts, one small row
@@ -18,14 +18,15 @@ def chunked_row_number(df: DataFrame, key: str, order: str, chunk: Column, name:
     starts = (
         parts.groupBy(key, "_chunk").agg(F.count(F.lit(1)).alias("_n"))
         .withColumn("_start", F.coalesce(F.sum("_n").over(Window.partitionBy(key).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-        .drop("_n")
+        .withColumn("_total", F.sum("_n").over(Window.partitionBy(key))).drop("_n")
     )
     within = F.row_number().over(Window.partitionBy(key, "_chunk").orderBy(order)) - 1
     numbered = parts.withColumn("_within", within)
     left, right = numbered.alias("l"), starts.alias("r")
     same = F.col(f"l.{key}").eqNullSafe(F.col(f"r.{key}")) & F.col("l._chunk").eqNullSafe(F.col("r._chunk"))
-    joined = left.join(right, same).select("l.*", F.col("r._start").alias("_start"))
-    return joined.withColumn(name, F.col("_start") + F.col("_within")).drop("_chunk", "_within", "_start")
+    joined = left.join(right, same).select("l.*", "r._start", "r._total")
+    ranked = joined.withColumn(name, F.col("_start") + F.col("_within"))
+    return (ranked.withColumn(total, F.col("_total")) if total else ranked).drop("_chunk", "_within", "_start", "_total")
 
 
 def dense_ids(df: DataFrame, order: list[str], name: str = "doc_id") -> DataFrame:

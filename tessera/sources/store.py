@@ -26,7 +26,7 @@ def save(index: Index, path: str, blocks: bool = False, mode: str = "errorifexis
     spark.createDataFrame(row, "num_docs long, sum_len long, num_terms long").coalesce(1).write.mode(mode).parquet(f"{path}/stats")
     stored = load(spark, path)
     if blocks:
-        blocks_of(stored.postings, stored.lexicon).write.mode(mode).parquet(f"{path}/blocks")
+        blocks_of(stored.postings).write.mode(mode).parquet(f"{path}/blocks")
     return stored
 
 

@@ -45,7 +45,7 @@ def test_odd_documents(spark):
 def test_blocks_and_next_geq(spark):
     rows = [(i, str(i), "aaaaa ttt" if i % 2 == 0 else "bbbbb dddd") for i in range(10_000)]
     built = index.build(documents(spark, rows))
-    blocks = index.blocks_of(built.postings, built.lexicon).cache()
+    blocks = index.blocks_of(built.postings).cache()
     got = {(r["term"], r["block_no"]): r for r in blocks.filter("block_no = 1").collect()}
     assert blocks.groupBy("term").count().filter("count <> 71").count() == 0
     assert [(got[t, 1]["nr_postings"], got[t, 1]["min_doc_id"], got[t, 1]["max_doc_id"]) for t in ("aaaaa", "bbbbb")] == [(71, 142, 282), (71, 143, 283)]
