@@ -11,8 +11,9 @@ from tessera.plans.lineage import cut
 def chunked_row_number(df: DataFrame, key: str, order: str, chunk: Column, name: str = "rank", total: str | None = None) -> DataFrame:
     """0-based position of each row within ``key`` in ascending ``order``, without one task ever holding a whole key.
 
-    ``chunk`` must not decrease along ``order``. Rows are numbered within (key, chunk); the chunk counts, one small row
-    each, are summed up along the key to give every chunk its start.
+    Rows are numbered within (key, chunk); the chunk counts, one small row each, are summed up along the key to give every
+    chunk its start. The positions follow ``order`` where ``chunk`` does not decrease along it; with any other chunks they
+    are still 0, 1, 2 ... without gaps. ``total`` names a column for the number of rows of the key.
     """
     parts = df.withColumn("_chunk", chunk)
     starts = (
