@@ -1,9 +1,10 @@
 """Per-key distinct counts where a few keys hold most rows: multi-level tree aggregation.
 
-Input is read in chunks of fixed size (one per input partition). Each chunk combines its own rows into set states before
-anything moves; states are merged in rounds that join at most ``fan_in`` neighbouring chunks each, until one is left. No
-reducer ever receives more than ``fan_in`` states of a key's range, and a state is bounded: it covers a fixed range of
-values (a bucket of 32,768) and holds at most that many 2-byte positions, however many rows the key has.
+Input is read in chunks of fixed size. Each chunk combines its own rows into set states before anything moves. A state is
+one 64-bit word: the values of a key within an aligned range of 64, so it has a fixed size however many rows the key has,
+and plain hash aggregation combines it. The keys that a sketch names as heavy take the tree: their states are merged in
+rounds that join at most ``fan_in`` neighbouring chunks each, until one is left. All other keys leave the tree after the
+first round, since none of them has more than one row in 20,000.
 """
 
 from __future__ import annotations
@@ -13,35 +14,32 @@ import math
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-_HALF = 1 << 15
+from tessera.operators.heavy import LEAST, SHARE, chunked, heavy_keys
 
-
-def tree_count_distinct(df: DataFrame, key: str, value: str, fan_in: int = 8, name: str = "n_distinct") -> DataFrame:
+def tree_count_distinct(df: DataFrame, key: str, value: str, fan_in: int = 8, name: str = "n_distinct", least: int = LEAST, share: int = SHARE) -> DataFrame:
     """(key, n_distinct): the exact number of distinct non-null integers ``value`` of each key.
 
-    A key whose values are all null gets 0. A null key is a key like any other. Repeated rows, any number of them,
-    change nothing. An empty table gives no rows.
+    A key whose values are all null gets 0. A null key is a key like any other and takes the tree. Repeated rows, any
+    number of them, change nothing. An empty table gives no rows. The number of chunks only decides how many rounds there
+    are: the last round merges by key and range alone, so a wrong number cannot change a count.
     """
     if fan_in < 2:
         raise ValueError("fan_in must be at least 2")
-    rows = df.select(F.col(key).alias("k"), F.col(value).cast("long").alias("v"), F.spark_partition_id().alias("chunk"))
-    bucket = F.shiftright(F.coalesce("v", F.lit(0)), 15)
-    position = (F.col("v").bitwiseAND(F.lit(_HALF - 1))).cast("short")
-    levels = max(1, math.ceil(math.log(max(2, df.rdd.getNumPartitions()), fan_in)))
-    # the first round's map side is the chunk-local combine: a chunk sends one state for each key and bucket it holds
-    states = (
-        rows.select("k", bucket.alias("b"), position.alias("p"), F.floor(F.col("chunk") / F.lit(fan_in)).alias("chunk"))
-        .groupBy("k", "b", "chunk").agg(F.collect_set("p").alias("s"))
-    )
-    for _ in range(levels - 1):
-        states = (
-            states.withColumn("chunk", F.floor(F.col("chunk") / F.lit(fan_in)))
-            .groupBy("k", "b", "chunk").agg(F.array_distinct(F.flatten(F.collect_list("s"))).alias("s"))
-        )
-    counted = states.select("k", "b", F.size("s").cast("long").alias("n"))
-    # along the value ranges of a key: one number each, first in groups, then whole
-    partial = counted.groupBy("k", F.pmod(F.xxhash64("b"), F.lit(64)).alias("g")).agg(F.sum("n").alias("n"))
-    return partial.groupBy("k").agg(F.sum("n").alias(name)).withColumnRenamed("k", key)
+    rows = df.select(F.col(key).alias("k"), F.col(value).cast("long").alias("v"))
+    heavy = heavy_keys(rows, "k", least, share)
+    tree, light = heavy.split(chunked(rows)[0], "k", nulls=True)
+    word = F.shiftright("v", 6).alias("w")
+    state = F.bit_or(F.expr("shiftleft(1L, cast(v & 63 AS int))")).alias("s")
+    ones = F.sum(F.coalesce(F.bit_count("s"), F.lit(0))).cast("long").alias(name)
+    # no key here is a burden: its rows meet once, and neither aggregation moves them again
+    left = light.repartition("k").groupBy("k", word).agg(state).groupBy("k").agg(ones)
+    # the map side of the first aggregation is the chunk's own combine
+    states, merged = tree.withColumn("chunk", F.spark_partition_id()), state
+    for _ in range(math.ceil(round(math.log(max(2, heavy.chunks), fan_in), 9)) - 1):
+        states = states.groupBy("k", word if merged is state else F.col("w"), F.floor(F.col("chunk") / F.lit(fan_in)).alias("chunk")).agg(merged)
+        merged = F.bit_or("s").alias("s")
+    whole = states.groupBy("k", word if merged is state else F.col("w")).agg(merged).groupBy("k").agg(ones)
+    return left.unionByName(whole).withColumnRenamed("k", key)
 
 
 def term_documents(postings: DataFrame, lexicon: DataFrame, fan_in: int = 8) -> DataFrame:
