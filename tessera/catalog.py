@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -12,8 +11,8 @@ from tessera.functions import codec, text
 from tessera.functions.stopwords import ENGLISH
 from tessera.operators import evaluate, index, ranking, retrieval, tree
 from tessera.plans.engine import SearchEngine
-from tessera.plans.lineage import ensure_checkpoint_dir
-from tessera.sources import collection
+from tessera.plans.lineage import cut, fresh_folder
+from tessera.sources import collection, store
 from tessera.streaming import ingest
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -44,7 +43,7 @@ def _index(spark: SparkSession, sf_dir: str, **how) -> index.Index:
 
 
 def _blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return index.blocks_of(index.postings_of(index.analysed(_documents(spark, sf_dir))))
+    return index.blocks_of(index.postings_of(cut(index.analysed(_documents(spark, sf_dir)))))
 
 
 def _topics(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -319,12 +318,44 @@ def engine_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"WITH {_POSTINGS} SELECT term, df, max_tf, round(idf, 6) AS idf FROM lex")
 def streamed_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents fed as a stream of one file, merged; equal to the index built at once."""
-    path = f"{ensure_checkpoint_dir(spark)}/streamed-{uuid.uuid4().hex}"
+    path = fresh_folder(spark, "streamed")
     stream = spark.readStream.schema(table(spark, sf_dir, "documents").schema).parquet(f"{sf_dir}/documents.parquet*")
     ingest.start(stream.select("doc_id", "doc_no", "text"), path, f"{path}-state").awaitTermination()
     return ingest.merged(spark, path).lexicon.select("term", "df", "max_tf", F.round("idf", 6).alias("idf"))
 
 
+@query(f"WITH {_DOCS} SELECT row_number() OVER (ORDER BY doc_id) - 1 AS doc_id, doc_no, array_to_string(tokens, ' ') AS text FROM docs WHERE doc_no <> ''")
+def read_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The corpus as compressed collection files, read back with document ids in the order of the lines. Documents without
+    a number are no lines of a collection."""
+    docs = index.analysed(_documents(spark, sf_dir)).select("doc_id", "doc_no", F.array_join("tokens", " ").alias("text"))
+    path = fresh_folder(spark, "collection")
+    collection.write_collection(docs.repartitionByRange("doc_id").sortWithinPartitions("doc_id"), path)
+    return collection.read_collection(spark, path, numbered=True)
+
+
+@query(_search_sql(_BM25.format(log="log10")).replace("FROM topics)", "FROM topics WHERE query_id % 50 = 0)"))
+def stored_maxscore(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The topics whose id is divisible by 50, pruned, over an index that was saved and loaded again."""
+    stored = store.save(_index(spark, sf_dir), fresh_folder(spark, "index"))
+    queries = retrieval.parse_queries(_topics(spark, sf_dir).filter("query_id % 50 = 0"))
+    return retrieval.maxscore(stored, queries).withColumn("score", F.round("score", 6))
+
+
+@query(_BLOCKS + "SELECT term || ' ' || array_to_string(list(doc_id || ':' || tf ORDER BY doc_id), ' ') AS value FROM (SELECT *, floor(rn / ceil(df / nb)) AS b FROM r) GROUP BY term, b")
+def stored_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Posting blocks saved with the index, loaded and rendered as text."""
+    path = fresh_folder(spark, "index")
+    store.save(_index(spark, sf_dir), path, blocks=True)
+    return store.render_postings(store.load_blocks(spark, path))
+
+
+@query(f"WITH {_POSTINGS} SELECT count(*) AS terms, sum(df)::BIGINT AS postings, round(avg(df), 6) AS mean, round(sum(df * df) / sum(df)::DOUBLE, 6) AS weighted_mean, max(df) AS longest FROM lex")
+def list_lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = index.list_lengths(_index(spark, sf_dir).lexicon)
+    return found.select("terms", "postings", F.round("mean", 6).alias("mean"), F.round("weighted_mean", 6).alias("weighted_mean"), "longest")
+
+
 _P3 = (
     "WITH p AS (SELECT rtrim(term, ' ') AS term, count(DISTINCT doc_id) AS n_docs FROM postings WHERE term IS NOT NULL GROUP BY 1), "
     "l AS (SELECT term, sum(coalesce(df, 0))::BIGINT AS lexicon_df FROM (SELECT DISTINCT spimi_block, rtrim(term, ' ') AS term, df FROM lexicon "

@@ -26,6 +26,7 @@ def _parser() -> argparse.ArgumentParser:
             sub.add_argument("--collection", required=True)
             sub.add_argument("--partitions", type=int)
             sub.add_argument("--blocks", action="store_true")
+            sub.add_argument("--strip-header", action="store_true", help="the collection is a compressed tar archive read as text")
         else:
             sub.add_argument("--scoring", choices=["tfidf", "bm25"], default="tfidf")
             sub.add_argument("--algorithm", choices=["daat", "maxscore"], default="daat")
@@ -35,6 +36,7 @@ def _parser() -> argparse.ArgumentParser:
             if name == "evaluate":
                 sub.add_argument("--topics", required=True)
                 sub.add_argument("--qrels", required=True)
+                sub.add_argument("--latency", type=int, default=0, metavar="N", help="also time so many topics one by one")
     return parser
 
 
@@ -43,20 +45,23 @@ def main(argv: list[str] | None = None) -> None:
     spark = SparkSession.builder.appName("tessera").getOrCreate()
     stops = read_stop_words(args.stop_words) if args.stop_words else sorted(ENGLISH) if args.remove_stop_words else None
     if args.command == "index":
-        documents = collection.with_ids(collection.read_collection(spark, args.collection, args.partitions))
+        documents = collection.read_collection(spark, args.collection, args.partitions, args.strip_header, numbered=True)
         SearchEngine.build(documents, stops, args.stem, args.index, args.blocks)
         return
-    engine = SearchEngine.load(spark, args.index, stops, args.stem, args.cache)
     how = {"scoring": args.scoring, "algorithm": args.algorithm, "k": args.k, "conjunctive": args.conjunctive}
-    if args.command == "evaluate":
-        qrels = collection.read_qrels(spark, args.qrels)
-        topics = collection.read_topics(spark, args.topics).join(qrels.select("query_id").distinct(), "query_id", "left_semi")
-        evaluate.summary(evaluate.metrics(engine.search_batch(topics, **how), qrels, args.k)).show(truncate=False)
-        return
-    while query := input("query (empty ends): ").strip():
-        began = time.perf_counter()
-        engine.search(query, **how).orderBy("rank").show(args.k, truncate=False)
-        print(f"{(time.perf_counter() - began) * 1000:.0f} ms")
+    with SearchEngine.load(spark, args.index, stops, args.stem, args.cache) as engine:
+        if args.command == "evaluate":
+            qrels = collection.read_qrels(spark, args.qrels)
+            topics = collection.read_topics(spark, args.topics).join(qrels.select("query_id").distinct(), "query_id", "left_semi")
+            evaluate.summary(evaluate.metrics(engine.search_batch(topics, **how), qrels, args.k)).show(truncate=False)
+            if args.latency:
+                texts = [r["text"] for r in topics.orderBy("query_id").limit(args.latency).collect()]
+                print("seconds a query: mean {:.3f}, deviation {:.3f}".format(*engine.latency(texts, **how)))
+            return
+        while query := input("query (empty ends): ").strip():
+            began = time.perf_counter()
+            engine.search(query, **how).orderBy("rank").show(args.k, truncate=False)
+            print(f"{(time.perf_counter() - began) * 1000:.0f} ms")
 
 
 if __name__ == "__main__":

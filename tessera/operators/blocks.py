@@ -25,36 +25,38 @@ _SLACK = 1e-9
 @dataclass(frozen=True)
 class QuerySet:
     """Queries as arrays: terms of query i are ``terms[starts[i]:starts[i + 1]]``, weakest upper bound first; ``bounds``
-    go with them; ``wanted`` counts the distinct tokens, also those the lexicon lacks."""
+    go with them; ``wanted`` counts the distinct tokens, also those the lexicon lacks; ``least``: a score that k documents
+    of the query are known to reach."""
 
     ids: np.ndarray
     starts: np.ndarray
     terms: np.ndarray
     bounds: np.ndarray
     wanted: np.ndarray
+    least: np.ndarray | None = None
 
 
-def query_set(known: list, bound: str) -> tuple[QuerySet, list[tuple[int, str, float]]]:
-    """The arrays, and (number, term, idf) of the distinct terms."""
-    names = {t: i for i, t in enumerate(sorted({r["term"] for r in known}))}
-    idf = {r["term"]: r["idf"] for r in known}
-    rows = sorted((r["query_id"], r[bound], names[r["term"]], r["n_terms"]) for r in known)
-    ids, starts = np.unique(np.array([r[0] for r in rows], dtype=np.int64), return_index=True)
-    queries = QuerySet(
-        ids, np.append(starts, len(rows)), np.array([r[2] for r in rows], dtype=np.int64),
-        np.array([r[1] for r in rows], dtype=np.float64), np.array([r[3] for r in rows], dtype=np.int64)[starts],
-    )
-    return queries, [(i, t, idf[t]) for t, i in names.items()]
+def query_set(known: pa.Table, bound: str) -> tuple[QuerySet, pa.Table]:
+    """The arrays, and (number, term, idf) of the distinct terms, from rows (query_id, term, n_terms, idf, bound)."""
+    terms = known["term"].combine_chunks().dictionary_encode()
+    number = terms.indices.to_numpy().astype(np.int64)
+    query, value, wanted = (known[c].to_numpy() for c in ("query_id", bound, "n_terms"))
+    order = np.lexsort((number, value, query))
+    ids, starts = np.unique(query[order].astype(np.int64), return_index=True)
+    queries = QuerySet(ids, np.append(starts, len(order)), number[order], value[order].astype(np.float64), wanted[order].astype(np.int64)[starts])
+    idf = np.zeros(len(terms.dictionary))
+    idf[number] = known["idf"].to_numpy()
+    return queries, pa.table({"number": np.arange(len(idf)), "term": terms.dictionary, "idf": idf})
 
 
 class _Best:
     """The k best documents of each query so far, by rounded score and then the smaller document."""
 
-    def __init__(self, queries: int, k: int) -> None:
+    def __init__(self, queries: int, k: int, least: np.ndarray | None = None) -> None:
         self.k = k
         self.score: list[np.ndarray | None] = [None] * queries
         self.doc: list[np.ndarray | None] = [None] * queries
-        self.least = np.full(queries, -np.inf)
+        self.least = np.full(queries, -np.inf) if least is None else least.copy()
 
     def add(self, i: int, score: np.ndarray, doc: np.ndarray) -> None:
         if len(score) > self.k:
@@ -67,13 +69,13 @@ class _Best:
         order = np.lexsort((doc, -score))[: self.k]
         self.score[i], self.doc[i] = score[order], doc[order]
         if len(order) == self.k:
-            self.least[i] = score[order[-1]]
+            self.least[i] = max(self.least[i], score[order[-1]])
 
 
 def _evaluator(shared, k: int, conjunctive: bool, prune: bool) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         queries: QuerySet = shared.value
-        best = _Best(len(queries.ids), k)
+        best = _Best(len(queries.ids), k, queries.least if prune else None)
         held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
 
         def score(doc: np.ndarray, term: np.ndarray, weight: np.ndarray) -> None:
@@ -140,7 +142,7 @@ def _evaluator(shared, k: int, conjunctive: bool, prune: bool) -> Callable:
 def evaluate(weighted: DataFrame, queries: QuerySet, k: int, conjunctive: bool, prune: bool) -> DataFrame:
     """query_id, doc_id, score: the k best of each query in each partition, from weighted(doc_id, term number, weight)."""
     shared = weighted.sparkSession.sparkContext.broadcast(queries)
-    rows = weighted.repartition("doc_id").sortWithinPartitions("doc_id")
+    rows = weighted.select("doc_id", "number", "w").repartition("doc_id").sortWithinPartitions("doc_id")
     return rows.mapInArrow(_evaluator(shared, k, conjunctive, prune and not conjunctive), "query_id bigint, doc_id bigint, score double").select(
         F.col("query_id"), "doc_id", "score"
     )

@@ -10,15 +10,17 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions import scoring, text
+from tessera.operators.heavy import heavy_keys
 from tessera.operators.ranking import chunked_row_number
+from tessera.plans.lineage import cut
 
 #: Below this document frequency a list is one block; from it on there are ceil(sqrt(df)) blocks (fixed rule).
 SINGLE_BLOCK_BELOW = 512
-#: Documents a rank chunk spans.
+#: Documents a rank chunk spans, and postings from which a term may be ranked in chunks.
 RANK_CHUNK = 1 << 20
 
 
@@ -73,29 +75,34 @@ def lexicon_of(postings: DataFrame, stats: Stats) -> DataFrame:
     """One row a term: df, max_tf, idf, exact TF-IDF bound, stored BM25 figure, safe BM25 bound, number of blocks.
 
     One hash aggregation with map-side combine, so a frequent term reaches its reducer as one row a map task. The
-    posting with the largest tf/doc_len (the smaller doc_id of equal ones) gives the stored ``max_bm25``; the safe bound
-    is the largest actual weight and is the only one used for pruning.
+    posting with the largest tf/doc_len (the smaller doc_id of equal ones) gives the stored ``max_bm25``; it is found by
+    one packed decimal, ratio before document, which a hash buffer can hold. The safe bound is the largest actual
+    weight and is the only one used for pruning.
     """
     n, avgdl = F.lit(stats.num_docs), F.lit(stats.avgdl)
     shape = scoring.bm25(F.col("tf"), F.lit(1.0), F.col("doc_len"), avgdl)
-    best = F.max_by(F.struct("tf", "doc_len"), F.struct(F.col("tf") / F.col("doc_len"), -F.col("doc_id")))
+    # 19 digits each: the ratio, which is at most 1 (times 10^18), and how far the doc_id is from the largest possible
+    ratio = (F.col("tf") / F.col("doc_len") * F.lit(1e18)).cast("decimal(19,0)")
+    place = (ratio * F.lit("10000000000000000000").cast("decimal(20,0)") + (F.lit(2**63 - 1) - F.col("doc_id")).cast("decimal(19,0)")).cast("decimal(38,0)")
+    tf_and_len = F.shiftleft(F.col("tf").cast("long"), 32) + F.col("doc_len")
+    best_tf, best_len = F.shiftright("best", 32).cast("int"), F.col("best").bitwiseAND(F.lit((1 << 32) - 1)).cast("int")
     return (
         postings.groupBy("term")
-        .agg(F.count(F.lit(1)).alias("df"), F.max("tf").alias("max_tf"), best.alias("best"), F.max(shape).alias("shape"))
-        .withColumn("idf", scoring.idf(F.col("df"), n))
+        .agg(F.count(F.lit(1)).alias("df"), F.max("tf").alias("max_tf"), F.max_by(tf_and_len, place).alias("best"), F.max(shape).alias("shape"))
+        .withColumn("idf", scoring.idf(F.col("df"), n)).withColumn("bm25_tf", best_tf).withColumn("bm25_dl", best_len)
         .select(
-            "term", "df", "max_tf", "idf", block_count(F.col("df")).alias("num_blocks"),
-            F.col("best.tf").alias("bm25_tf"), F.col("best.doc_len").alias("bm25_dl"),
+            "term", "df", "max_tf", "idf", block_count(F.col("df")).alias("num_blocks"), "bm25_tf", "bm25_dl",
             scoring.tfidf(F.col("max_tf"), F.col("idf")).alias("max_tfidf"),
-            scoring.raw_bm25_bound(F.col("best.tf"), F.col("idf"), F.col("best.doc_len"), avgdl).alias("max_bm25"),
+            scoring.raw_bm25_bound(F.col("bm25_tf"), F.col("idf"), F.col("bm25_dl"), avgdl).alias("max_bm25"),
             (F.col("idf") * F.col("shape")).alias("ub_bm25_safe"),
         )
     )
 
 
 def build(documents: DataFrame, stop_words: Sequence[str] | None = None, stem: bool = False) -> Index:
-    """Index of documents(doc_id, doc_no, text). The only action is the one-row collection statistics."""
-    docs = analysed(documents, stop_words, stem)
+    """Index of documents(doc_id, doc_no, text). Texts are cleaned once: the analysed rows are kept in the shared folder, and
+    statistics, lexicon and postings read what they need of them."""
+    docs = cut(analysed(documents, stop_words, stem))
     doc_index = docs.select("doc_id", "doc_no", "doc_len")
     stats = collection_stats(doc_index)
     postings = postings_of(docs)
@@ -105,11 +112,22 @@ def build(documents: DataFrame, stop_words: Sequence[str] | None = None, stem: b
 def blocks_of(postings: DataFrame) -> DataFrame:
     """Posting blocks: term, block_no, nr_postings, min_doc_id, max_doc_id, doc_ids, tfs (arrays in doc_id order).
 
-    Ranks are chunked by doc_id, and a block never exceeds max(511, sqrt(df) + 1) postings, so no task holds a whole
-    list of a frequent term.
+    Terms without one posting in 20,000 meet in one shuffle, which ranks and groups them. The heavier ones, which a
+    sketch names, are ranked in chunks of doc_id. A block never exceeds max(511, sqrt(df) + 1) postings, so no task holds
+    the list of a frequent term.
     """
+    rows = postings.select("term", "doc_id", "tf")
+    heavy, light = heavy_keys(rows, "term", RANK_CHUNK).split(rows, "term")
+    by_term = Window.partitionBy("term")
+    ranked = light.withColumn("rank", F.row_number().over(by_term.orderBy("doc_id")) - 1).withColumn("df", F.count(F.lit(1)).over(by_term))
+    blocks = _blocks(ranked)
+    if heavy is None:
+        return blocks
     chunk = F.floor(F.col("doc_id") / F.lit(RANK_CHUNK))
-    ranked = chunked_row_number(postings.select("term", "doc_id", "tf"), "term", "doc_id", chunk, total="df")
+    return blocks.unionByName(_blocks(chunked_row_number(heavy, "term", "doc_id", chunk, total="df")))
+
+
+def _blocks(ranked: DataFrame) -> DataFrame:
     per_block = F.ceil(F.col("df") / block_count(F.col("df")))
     return (
         ranked.withColumn("block_no", F.floor(F.col("rank") / per_block).cast("int"))
@@ -135,6 +153,16 @@ def top_df_terms(lexicon: DataFrame, k: int) -> DataFrame:
     return lexicon.select("term", "df").orderBy(F.col("df").desc(), "term").limit(k)
 
 
+def list_lengths(lexicon: DataFrame) -> DataFrame:
+    """terms, postings, mean, weighted_mean, longest: one row. The weighted mean counts every list as often as it is long,
+    so it is the length of the list a random posting belongs to. Null without terms."""
+    df = F.col("df").cast("double")
+    return lexicon.agg(
+        F.count(F.lit(1)).alias("terms"), F.sum("df").alias("postings"), F.avg(df).alias("mean"),
+        (F.sum(df * df) / F.sum(df)).alias("weighted_mean"), F.max("df").alias("longest"),
+    )
+
+
 def merge_lexicons(partials: DataFrame) -> DataFrame:
     """One row a term of partial lexicons(spimi_block, term, df, max_tfidf, max_bm25): term, df, num_blocks, bounds.
 

@@ -8,45 +8,53 @@ from pyspark.sql import functions as F
 from tessera.plans.lineage import cut
 
 
-def chunked_row_number(df: DataFrame, key: str, order: str, chunk: Column, name: str = "rank", total: str | None = None) -> DataFrame:
+def chunked_row_number(df: DataFrame, key: str, order: str, chunk: Column, name: str = "rank", total: str | None = None, few: bool = False) -> DataFrame:
     """0-based position of each row within ``key`` in ascending ``order``, without one task ever holding a whole key.
 
     Rows are numbered within (key, chunk); the chunk counts, one small row each, are summed up along the key to give every
     chunk its start. The positions follow ``order`` where ``chunk`` does not decrease along it; with any other chunks they
-    are still 0, 1, 2 ... without gaps. ``total`` names a column for the number of rows of the key.
+    are still 0, 1, 2 ... without gaps. ``total`` names a column for the number of rows of the key. A null key is a key
+    like any other. ``few``: the caller vouches that keys times chunks are few, so that their counts may be broadcast.
     """
-    parts = df.withColumn("_chunk", chunk)
-    starts = (
-        parts.groupBy(key, "_chunk").agg(F.count(F.lit(1)).alias("_n"))
-        .withColumn("_start", F.coalesce(F.sum("_n").over(Window.partitionBy(key).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-        .withColumn("_total", F.sum("_n").over(Window.partitionBy(key))).drop("_n")
-    )
-    within = F.row_number().over(Window.partitionBy(key, "_chunk").orderBy(order)) - 1
-    numbered = parts.withColumn("_within", within)
-    left, right = numbered.alias("l"), starts.alias("r")
-    same = F.col(f"l.{key}").eqNullSafe(F.col(f"r.{key}")) & F.col("l._chunk").eqNullSafe(F.col("r._chunk"))
-    joined = left.join(right, same).select("l.*", "r._start", "r._total")
-    ranked = joined.withColumn(name, F.col("_start") + F.col("_within"))
-    return (ranked.withColumn(total, F.col("_total")) if total else ranked).drop("_chunk", "_within", "_start", "_total")
-
-
-def dense_ids(df: DataFrame, order: list[str], name: str = "doc_id") -> DataFrame:
-    """Dense 0-based ids along ``order`` without a global window.
-
-    Rows are range-sorted once and kept in the checkpoint folder (so the ranges cannot shift between passes); the row
-    counts of the partitions, a list as short as the number of partitions, give each partition its start.
+    # key and chunk as one value that is never null: window and join ask for the same partitions, so rows move once
+    parts = df.withColumn("_at", F.struct(F.col(key).alias("key"), chunk.alias("chunk")))
+    along = Window.partitionBy("_at.key")
+    starts = parts.groupBy("_at").agg(F.count(F.lit(1)).alias("_n"))
+    starts = starts.withColumn("_start", F.coalesce(F.sum("_n").over(along.orderBy("_at.chunk").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    starts = starts.withColumn("_total", F.sum("_n").over(along)).drop("_n")
+    numbered = parts.withColumn("_within", F.row_number().over(Window.partitionBy("_at").orderBy(order)) - 1)
+    joined = numbered.join(F.broadcast(starts) if few else starts, "_at").withColumn(name, F.col("_start") + F.col("_within"))
+    return (joined.withColumn(total, F.col("_total")) if total else joined).drop("_at", "_within", "_start", "_total")
+
+
+def _placed(rows: DataFrame, name: str) -> DataFrame:
+    """Dense 0-based ``name`` along ``_part``, ``_split`` and, within these, ``_row``, which counts without gaps."""
+    where = ["_part", "_split"]
+    counts = rows.groupBy(*where).agg(F.count(F.lit(1)).alias("_n"), F.min("_row").alias("_least"))
+    # one row an input split, however many rows of data these have
+    starts = counts.withColumn("_start", F.coalesce(F.sum("_n").over(Window.orderBy(*where).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    placed = rows.join(F.broadcast(starts.drop("_n")), where)
+    return placed.withColumn(name, (F.col("_start") + F.col("_row") - F.col("_least")).cast("long")).drop(*where, "_row", "_least", "_start")
+
+
+def dense_ids(df: DataFrame, order: list[str] | None = None, name: str = "doc_id") -> DataFrame:
+    """Dense 0-based ids along ``order``, or in the order of the input partitions, without a global window.
+
+    Rows are range-sorted once (if at all) and kept in the shared folder, so that their places cannot shift between the two
+    passes; the row counts of the partitions, one row each, give every partition its start.
     """
-    parts = cut(df.repartitionByRange(*order).sortWithinPartitions(*order)).withColumn("_part", F.spark_partition_id())
-    counts = {r["_part"]: r["n"] for r in parts.groupBy("_part").agg(F.count(F.lit(1)).alias("n")).collect()}
-    start, starts = 0, []
-    for part in sorted(counts):
-        starts += [F.lit(part), F.lit(start).cast("long")]
-        start += counts[part]
-    if not starts:
-        return df.withColumn(name, F.lit(None).cast("long"))
-    # monotonically_increasing_id counts from 0 within each partition in its low 33 bits
-    within = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
-    return parts.withColumn(name, F.element_at(F.create_map(*starts), F.col("_part")) + within).drop("_part")
+    rows = df.repartitionByRange(*order).sortWithinPartitions(*order) if order else df
+    # monotonically_increasing_id: the partition above 33 bits, the row within it below
+    row = F.monotonically_increasing_id()
+    kept = cut(rows.withColumn("_row", row)).withColumn("_part", F.shiftright("_row", 33)).withColumn("_split", F.lit(0))
+    return _placed(kept, name)
+
+
+def ids_by_file(rows: DataFrame, name: str = "doc_id") -> DataFrame:
+    """Dense 0-based ids in the order of the lines of files: by file name, place in the file, line. ``rows`` are straight
+    from a file scan, with narrow transformations only; nothing is shuffled or sorted, the files are read twice."""
+    placed = rows.select("*", F.col("_metadata.file_path").alias("_part"), F.col("_metadata.file_block_start").alias("_split"))
+    return _placed(placed.withColumn("_row", F.monotonically_increasing_id()), name)
 
 
 def top_k(df: DataFrame, group: str, score: str, tie: str, k: int) -> DataFrame:

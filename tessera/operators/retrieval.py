@@ -9,7 +9,10 @@ the exhaustive evaluation.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import replace
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -19,7 +22,10 @@ from tessera.operators import blocks
 from tessera.operators.index import Index
 from tessera.operators.ranking import top_k
 
+#: Most documents that are told to the readers of weak terms' lists.
+MAX_CANDIDATES = 1_000_000
 _SLACK = 1e-9
+_TERMS = pa.schema([("number", pa.int64()), ("term", pa.string()), ("idf", pa.float64())])
 
 
 def parse_queries(topics: DataFrame, stop_words: Sequence[str] | None = None, stem: bool = False) -> DataFrame:
@@ -36,7 +42,7 @@ def _weighted(index: Index, terms: DataFrame, scoring: str, tf_log: str) -> Data
 
 
 def _known(index: Index, queries: DataFrame) -> DataFrame:
-    return queries.join(index.lexicon.select("term", "idf", "max_tfidf", "ub_bm25_safe"), "term")
+    return queries.join(index.lexicon.select("term", "df", "idf", "max_tfidf", "ub_bm25_safe"), "term")
 
 
 def _ranked(weighted: DataFrame, k: int, conjunctive: bool) -> DataFrame:
@@ -54,18 +60,82 @@ def _in_blocks(index: Index, queries: DataFrame, scoring: str, k: int, conjuncti
     bound = {"tfidf": "max_tfidf", "bm25": "ub_bm25_safe"}.get(scoring)
     if bound is None:
         raise ValueError(f"unknown scoring: {scoring}")
-    known = _known(index, queries).select("query_id", "term", "n_terms", "idf", bound).limit(blocks.MAX_QUERY_TERMS + 1).collect()
-    if len(known) > blocks.MAX_QUERY_TERMS:
+    known = _known(index, queries).select("query_id", "term", "n_terms", "idf", "df", bound).limit(blocks.MAX_QUERY_TERMS + 1).toArrow()
+    if known.num_rows > blocks.MAX_QUERY_TERMS:
         return None
+    k = max(k, 1)
     sent, terms = blocks.query_set(known, bound)
-    names = F.broadcast(index.postings.sparkSession.createDataFrame(terms, "number long, term string, idf double"))
+    spark = index.postings.sparkSession
+    names = F.broadcast(spark.createDataFrame(terms.cast(_TERMS)))
     w = weights.weight(scoring, F.col("tf"), F.col("idf"), F.col("doc_len"), F.lit(index.stats.avgdl), tf_log=tf_log)
-    found = blocks.evaluate(index.postings.join(names, "term").select("doc_id", "number", w.alias("w")), sent, max(k, 1), conjunctive, prune)
+    weighted = index.postings.join(names, "term").select("doc_id", "number", w.alias("w"))
+    if prune and terms.num_rows and _worth(sent, known):
+        sent = replace(sent, least=_reached(weighted, sent, k))
+        weighted = _needed(index, weighted, sent)
+    found = blocks.evaluate(weighted, sent, k, conjunctive, prune)
     kind = queries.schema["query_id"].dataType
     ranked = top_k(found, "query_id", "score", "doc_id", k)
     return ranked.select(F.col("query_id").cast(kind).alias("query_id"), "rank", "doc_id", "score")
 
 
+def _reached(weighted: DataFrame, sent: blocks.QuerySet, k: int) -> np.ndarray:
+    """For each query a score that k documents are known to reach: the k-th largest weight in the list of one of its terms
+    (minus infinity where all lists are shorter). Each task passes on at most k weights of a term."""
+    down = Window.partitionBy("number").orderBy(F.col("w").desc())
+    kth = weighted.withColumn("r", F.row_number().over(down)).filter(F.col("r") <= k).filter(F.col("r") == k).select("number", "w").toArrow()
+    by_term = np.full(int(sent.terms.max()) + 1, -np.inf)
+    by_term[kth["number"].to_numpy()] = kth["w"].to_numpy()
+    return np.maximum.reduceat(by_term[sent.terms], sent.starts[:-1])
+
+
+def _worth(sent: blocks.QuerySet, known: pa.Table, least: float = 0.8) -> bool:
+    """Whether lists that may turn out weak hold enough of the postings to look at thresholds first. The strongest term of a
+    query is never weak; large mixed batches have few others."""
+    df = dict(zip(known["term"].to_pylist(), known["df"].to_pylist()))
+    by_number = np.array([df[t] for t in known["term"].combine_chunks().dictionary_encode().dictionary.to_pylist()], dtype=np.float64)
+    total = by_number.sum()
+    by_number[sent.terms[sent.starts[1:] - 1]] = 0
+    return bool(by_number.sum() >= least * total)
+
+
+def _weak(sent: blocks.QuerySet) -> np.ndarray:
+    """Numbers of the terms that in every query that has them stay, together with all weaker terms, below what k documents
+    reach: a document found only by such terms is in no result."""
+    sums = np.cumsum(sent.bounds)
+    sums -= np.repeat(np.concatenate([[0.0], sums[sent.starts[1:-1] - 1]]), np.diff(sent.starts))
+    strong = sums >= np.repeat(sent.least, np.diff(sent.starts)) - _SLACK
+    return np.setdiff1d(sent.terms, sent.terms[strong])
+
+
+def _needed(index: Index, weighted: DataFrame, sent: blocks.QuerySet) -> DataFrame:
+    """The postings to be scored: all of the terms that can lead to a result by themselves, and of the weak terms, whose
+    lists are the longest, those in documents that such a term leads to. Which documents these are is told to the readers
+    of the weak lists if they are few (a checked bound), so that the rest of these lists is never moved."""
+    weak = _weak(sent)
+    if not len(weak):
+        return weighted
+    spark = index.postings.sparkSession
+    listed = F.broadcast(spark.createDataFrame(pa.table({"number": weak})))
+    strong = weighted.join(listed, "number", "left_anti")
+    documents = strong.select("doc_id").distinct().limit(MAX_CANDIDATES + 1).toArrow()
+    if documents.num_rows > MAX_CANDIDATES:
+        return weighted
+    rest = weighted.join(listed, "number", "left_semi").join(F.broadcast(spark.createDataFrame(documents)), "doc_id", "left_semi")
+    return strong.unionByName(rest)
+
+
+def postings_read(index: Index, queries: DataFrame, scoring: str = "bm25", k: int = 10) -> DataFrame:
+    """exhaustive, pruned: how many postings go to the scorers, without pruning and with it. One row."""
+    bound = {"tfidf": "max_tfidf", "bm25": "ub_bm25_safe"}[scoring]
+    sent, terms = blocks.query_set(_known(index, queries).select("query_id", "term", "n_terms", "idf", bound).toArrow(), bound)
+    names = F.broadcast(index.postings.sparkSession.createDataFrame(terms.cast(_TERMS)))
+    w = weights.weight(scoring, F.col("tf"), F.col("idf"), F.col("doc_len"), F.lit(index.stats.avgdl))
+    weighted = index.postings.join(names, "term").select("doc_id", "number", w.alias("w"))
+    needed = _needed(index, weighted, replace(sent, least=_reached(weighted, sent, k))) if terms.num_rows else weighted
+    count = lambda rows, name: rows.agg(F.count(F.lit(1)).alias(name))
+    return count(weighted, "exhaustive").crossJoin(count(needed, "pruned"))
+
+
 def daat(index: Index, queries: DataFrame, scoring: str = "bm25", k: int = 10, conjunctive: bool = False, tf_log: str = "log10") -> DataFrame:
     """Exhaustive evaluation, in blocks of documents; for very large query sets by join, aggregation and grouped top-k."""
     found = _in_blocks(index, queries, scoring, k, conjunctive, tf_log, prune=False)
@@ -125,9 +195,12 @@ def search(index: Index, queries: DataFrame, scoring: str = "bm25", algorithm: s
 def next_geq(blocks: DataFrame, targets: DataFrame) -> DataFrame:
     """For each (term, target) the first posting with doc_id >= target; no row past the end of the list.
 
-    Blocks that end before the target are skipped by ``max_doc_id``; of the rest only the first is opened.
+    The last documents of a term's blocks, at most sqrt(df) + 1 numbers, tell which block to open; only that block is
+    joined to the target.
     """
-    live = targets.select("term", "target").distinct().join(blocks, "term").filter(F.col("max_doc_id") >= F.col("target"))
-    first = live.groupBy("term", "target").agg(F.min_by(F.struct("doc_ids", "tfs"), "block_no").alias("b"))
-    hit = F.element_at(F.filter(F.arrays_zip(F.col("b.doc_ids").alias("doc_ids"), F.col("b.tfs").alias("tfs")), lambda x: x["doc_ids"] >= F.col("target")), 1)
-    return first.select("term", "target", hit["doc_ids"].alias("doc_id"), hit["tfs"].alias("tf"))
+    ends = blocks.groupBy("term").agg(F.array_sort(F.collect_list("max_doc_id")).alias("ends"))
+    wanted = targets.select("term", "target").distinct().join(ends, "term")
+    at = wanted.select("term", "target", F.size(F.filter("ends", lambda e: e < F.col("target"))).alias("block_no"))
+    opened = at.join(blocks.select("term", "block_no", "doc_ids", "tfs"), ["term", "block_no"])
+    place = F.size(F.filter("doc_ids", lambda d: d < F.col("target")))
+    return opened.select("term", "target", F.get("doc_ids", place).alias("doc_id"), F.get("tfs", place).alias("tf"))

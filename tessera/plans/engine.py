@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import statistics
+import time
 from collections.abc import Sequence
 from dataclasses import dataclass
 
@@ -15,8 +17,8 @@ from tessera.sources import store
 
 @dataclass
 class SearchEngine:
-    """An index with the analysis it was built with. ``cache`` keeps postings and lexicon in executor memory; results
-    never depend on it."""
+    """An index with the analysis it was built with. ``cache`` keeps postings and lexicon in executor memory until ``close``
+    (or the end of a ``with`` block); results never depend on it."""
 
     index: indexing.Index
     stop_words: Sequence[str] | None = None
@@ -35,6 +37,25 @@ class SearchEngine:
             engine.index.lexicon.persist()
         return engine
 
+    def close(self) -> None:
+        self.index.postings.unpersist()
+        self.index.lexicon.unpersist()
+
+    def __enter__(self) -> SearchEngine:
+        return self
+
+    def __exit__(self, *_) -> None:
+        self.close()
+
+    def latency(self, queries: Sequence[str], **how) -> tuple[float, float]:
+        """Mean and standard deviation of the seconds that each of the queries takes by itself."""
+        took = []
+        for query in queries:
+            began = time.perf_counter()
+            self.search(query, **how).collect()
+            took.append(time.perf_counter() - began)
+        return (statistics.fmean(took), statistics.pstdev(took)) if took else (0.0, 0.0)
+
     def search(self, query: str, scoring: str = "bm25", algorithm: str = "daat", k: int = 10, conjunctive: bool = False) -> DataFrame:
         topics = self.index.postings.sparkSession.createDataFrame([(0, query)], "query_id int, text string")
         return self.search_batch(topics, scoring, algorithm, k, conjunctive).drop("query_id")

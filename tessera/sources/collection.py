@@ -5,31 +5,43 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.operators.ranking import dense_ids
+from tessera.operators.heavy import estimated_bytes
+from tessera.operators.ranking import dense_ids, ids_by_file
 
 
-def read_collection(spark: SparkSession, path: str, partitions: int | None = None, strip_header: bool = False) -> DataFrame:
-    """doc_no, text of tab-separated lines; gzip is read as such.
+def read_collection(spark: SparkSession, path: str, partitions: int | None = None, strip_header: bool = False, numbered: bool = False) -> DataFrame:
+    """doc_no, text of tab-separated lines; gzip is read as such. ``numbered`` puts a dense doc_id before them, from 0 in the
+    order of the lines (files by name), which is what judgments that name documents by number mean.
 
-    A gzip file is one task, so the lines are spread before any work on them. A line without a tab is a document number
-    with a null text. ``strip_header`` drops the archive header that precedes the first document's ``0`` and tab when a
-    tar archive was compressed as it is; only lines with NUL bytes, which the header always has, are touched.
+    A gzip file is one task, so the lines are spread over all cores before any work on them, or over ``partitions``. A line
+    without a tab is a document number with a null text; lines without a document number are left out. ``strip_header``
+    drops the archive header that precedes the first document's ``0`` and tab when a tar archive was compressed as it is;
+    only lines with NUL bytes, which the header always has, are touched.
     """
-    lines = spark.read.text(path)
-    lines = lines.repartition(partitions) if partitions else lines
     value = F.col("value")
     if strip_header:
         headed = value.contains("\x00") | value.rlike(r"^[^\t]*[^\t\d][^\t]*0\t")
         value = F.when(headed, F.regexp_replace(value, r"(?s)^.*?0\t", "0\t")).otherwise(value)
     parts = F.split(value, "\t", 2)
-    return lines.select(parts[0].alias("doc_no"), F.get(parts, F.lit(1)).alias("text")).filter(F.col("doc_no") != "")
+    lines = spark.read.text(path)
+    if numbered:
+        kept = lines.filter(F.coalesce(parts[0], F.lit("")) != "")
+        lines = ids_by_file(kept, "doc_id")
+    rows = lines.select(*(["doc_id"] if numbered else []), parts[0].alias("doc_no"), F.get(parts, F.lit(1)).alias("text")).filter(F.col("doc_no") != "")
+    return rows.repartition(partitions) if partitions else spread(rows)
 
 
 def spread(rows: DataFrame) -> DataFrame:
-    """Rows of a scan over all cores where it has fewer partitions than these: a small or unsplittable file would keep
-    one task busy with all text work. Larger scans, which have partitions enough, stay as they are, without a shuffle."""
-    cores = rows.sparkSession.sparkContext.defaultParallelism
-    return rows.repartition(cores) if rows.rdd.getNumPartitions() < cores else rows
+    """Rows of a file scan over all cores where its files give it fewer parts than these: a small or unsplittable file would
+    keep one task busy with all text work. Larger scans, which have parts enough, stay as they are, without a shuffle."""
+    spark = rows.sparkSession
+    cores = spark.sparkContext.defaultParallelism
+    files = rows.inputFiles()
+    if files and all(f.endswith((".gz", ".bz2")) for f in files):
+        parts = len(files)
+    else:
+        parts = estimated_bytes(rows) // int(spark.conf.get("spark.sql.files.maxPartitionBytes").rstrip("bB"))
+    return rows.repartition(cores) if parts < cores else rows
 
 
 def from_rows(spark: SparkSession, rows: list[tuple[str, str | None]]) -> DataFrame:
@@ -37,8 +49,8 @@ def from_rows(spark: SparkSession, rows: list[tuple[str, str | None]]) -> DataFr
 
 
 def with_ids(collection: DataFrame, order: list[str] | None = None) -> DataFrame:
-    """Dense doc_id from 0 along ``order`` (document number by default)."""
-    return dense_ids(collection, order or ["doc_no"]).select("doc_id", "doc_no", "text")
+    """Dense doc_id from 0 in the order of the rows, or along ``order``. For files see ``read_collection(numbered=True)``."""
+    return dense_ids(collection.select("doc_no", "text"), order).select("doc_id", "doc_no", "text")
 
 
 def write_collection(collection: DataFrame, path: str) -> None:

@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
 from tessera.operators import index as indexing
+from tessera.sources import store
 
 
 def append(documents: DataFrame, path: str, batch: int, stop_words: Sequence[str] | None = None, stem: bool = False) -> None:
@@ -19,9 +20,10 @@ def append(documents: DataFrame, path: str, batch: int, stop_words: Sequence[str
 
     doc_id must be unique over all batches. An empty batch is written as such.
     """
-    docs = indexing.analysed(documents, stop_words, stem)
+    docs = indexing.analysed(documents, stop_words, stem).persist()  # cleaned once for both tables
     docs.select("doc_id", "doc_no", "doc_len").write.mode("overwrite").parquet(f"{path}/doc_index/batch={batch}")
     indexing.postings_of(docs).write.mode("overwrite").parquet(f"{path}/postings/batch={batch}")
+    docs.unpersist()
 
 
 def start(documents: DataFrame, path: str, checkpoint: str, stop_words: Sequence[str] | None = None, stem: bool = False, available_now: bool = True) -> StreamingQuery:
@@ -36,3 +38,8 @@ def merged(spark: SparkSession, path: str) -> indexing.Index:
     postings = spark.read.parquet(f"{path}/postings").drop("batch")
     stats = indexing.collection_stats(doc_index)
     return indexing.Index(doc_index, postings, indexing.lexicon_of(postings, stats), stats)
+
+
+def compact(spark: SparkSession, path: str, target: str) -> indexing.Index:
+    """The batches so far as one stored index at ``target``, sorted by term, in files of ordinary size."""
+    return store.save(merged(spark, path), target)

@@ -1,4 +1,4 @@
-"""Every registered query against its SQL on the smallest tables."""
+"""Every query of the core against its SQL on the smallest tables."""
 
 import math
 from pathlib import Path
@@ -7,6 +7,7 @@ import duckdb
 import pytest
 
 import __spark_entry__
+from tessera import catalog
 
 TABLES = "passages doc_index postings lexicon topics qrels hits documents".split()
 
@@ -24,7 +25,7 @@ def sql(sf):
 
 
 @pytest.mark.skipif(not Path("/root/testdata/sf0.001").exists(), reason="no test tables here")
-@pytest.mark.parametrize("name", sorted(__spark_entry__.queries()))
+@pytest.mark.parametrize("name", sorted(catalog.QUERIES))
 def test_query(spark, sf, sql, name):
     df = __spark_entry__.queries()[name](spark, sf)
     columns = sorted(df.columns)

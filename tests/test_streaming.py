@@ -29,3 +29,11 @@ def test_merged_lexicons(spark):
     rows = [(0, "a ", 2, 0.5, None), (0, "a", 2, 0.7, 0.1), (1, "a", None, None, 0.4), (1, "b", 600, 0.1, 0.2), (2, None, 3, 1.0, 1.0)]
     merged = index.merge_lexicons(spark.createDataFrame(rows, "spimi_block int, term string, df int, max_tfidf double, max_bm25 double"))
     assert {tuple(r) for r in merged.collect()} == {("a", 2, 1, 0.7, 0.4), ("b", 600, 25, 0.1, 0.2)}
+
+
+def test_compaction(spark, tmp_path):
+    for n in range(3):
+        ingest.append(spark.createDataFrame([(n, f"d{n}", f"x y{n}")], SCHEMA), str(tmp_path / "in"), n)
+    whole = ingest.compact(spark, str(tmp_path / "in"), str(tmp_path / "out"))
+    assert {tuple(r) for r in whole.postings.collect()} == {tuple(r) for r in ingest.merged(spark, str(tmp_path / "in")).postings.collect()}
+    assert whole.stats.num_docs == 3 and whole.stats.num_terms == 4

@@ -6,11 +6,11 @@ from tessera.functions.stemmer import stem
 from tessera.functions.stopwords import ENGLISH, merge_stop_words, read_stop_words
 
 CLEAN = [
-    ("This is a sentence with multiple spaces  and punctuation!", "this is a sentence with multiple spaces and punctuation"),
-    ("The first websiteâThe Manhattan Project:", "the first website the manhattan project"),
-    ("special characters like @, #, $, %, and ^ in this sentence.", "special characters like and in this sentence"),
-    ("This is a sample text with <html> tags, #biden, @usernames, and http://wikipedia.", "this is a sample text with tags usernames and"),
-    ("Questa è una frase", "questa una frase"),
+    ("Two   blanks, a tab\tand  an end!", "two blanks a tab and an end"),
+    ("the old millâThe Lower Ferry:", "the old mill the lower ferry"),
+    ("signs such as @, #, $, %, and ^ vanish.", "signs such as and vanish"),
+    ("Drop <b> marks, #tags, @names, and http://example.", "drop marks names and"),
+    ("Perché è così", "perch cos"),
     ("a <b\nc> d_e", "a d e"),
     ("!!! ...", ""),
     ("", ""),
@@ -26,12 +26,12 @@ def test_clean(spark):
 
 
 def test_tokens_stop_words_and_stems(spark):
-    rows = spark.createDataFrame([(0, "The pen is on the table"), (1, "The day is very sunny"), (2, "Silence is golden"), (3, None), (4, "  ")], "i int, t string")
+    rows = spark.createDataFrame([(0, "The ferries are at the harbour"), (1, "It was a very rainy evening"), (2, "Kindness is rewarded"), (3, None), (4, "  ")], "i int, t string")
     got = {r["i"]: r["x"] for r in rows.select("i", text.tokens(F.col("t"), sorted(ENGLISH), True).alias("x")).collect()}
-    assert got == {0: ["pen", "tabl"], 1: ["day", "sunni"], 2: ["silenc", "golden"], 3: [], 4: []}
+    assert got == {0: ["ferri", "harbour"], 1: ["raini", "even"], 2: ["kind", "reward"], 3: [], 4: []}
 
 
-@pytest.mark.parametrize(("word", "want"), [w.split(":") for w in "running:run jumps:jump played:play sentence:sentenc multiple:multipl punctuation:punctuat website:websit types:type community:communiti characters:charact shines:shine bright:bright sky:sky skies:sky dying:die generously:generous hopping:hop hoping:hope relational:relat national:nation agreed:agre feed:feed communism:communism proceed:proceed".split()])
+@pytest.mark.parametrize(("word", "want"), [w.split(":") for w in "swimming:swim floats:float rained:rain fence:fenc simple:simpl decoration:decor opposite:opposit ropes:rope county:counti daily:daili harbours:harbour sky:sky skies:sky dying:die generously:generous hopping:hop hoping:hope relational:relat national:nation agreed:agre feed:feed communism:communism proceed:proceed".split()])
 def test_stem(word, want):
     assert stem(word) == want
 
