@@ -1,10 +1,9 @@
 """Problem 1: frequency of every distinct term, by heavy-light aggregation.
 
-A bounded sketch names the terms that hold most rows. Their list, at most ``max_heavy`` long whatever the data, is
-broadcast; their rows are counted where they are read, into exact bit arrays over document ranges of 32,768, and only
-those arrays move. The rows of all other terms, none of which is large, are shuffled by term once. Both count tables are
-united. Where document ids are so scattered that bit arrays would be nearly empty, a heavy term's rows are spread by term
-and document instead. Being named or not changes where a term is counted, never its count.
+Mergeable sketches name the terms that hold at least one in 20,000 of the rows. Their list, bounded whatever the data, goes
+to every reader, written into the plan or broadcast; their rows are counted where they are read, into exact local counters: arrays of 64 documents, one bit each,
+beside the sum of tf. Only these move. The rows of all other terms, none of which is large, are shuffled by term once.
+Both count tables are united. Being named or not changes where a term is counted, never its count.
 """
 
 from __future__ import annotations
@@ -12,56 +11,28 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Most terms the broadcast list can hold, and the counters of the sketch that finds them.
-MAX_HEAVY = 1024
-SKETCH_ITEMS = 1 << 15
-#: A heavy term fills at least one in so many positions of its bit arrays; below that rows are cheaper to move.
-SPARSEST = 256
+from tessera.operators.heavy import LEAST, SHARE, heavy_keys
 
 
-def heavy_terms(postings: DataFrame, max_heavy: int = MAX_HEAVY, sparsest: int = SPARSEST) -> DataFrame:
-    """term, dense: at most ``max_heavy`` terms with at least one in ``2 * max_heavy`` of all rows, or dense ones, from
-    one pass of a mergeable frequent-items sketch. dense: bit arrays over its documents are worth their room."""
-    found = postings.filter(F.col("term").isNotNull()).agg(
-        F.expr(f"approx_top_k(term, {max_heavy}, {SKETCH_ITEMS})").alias("top"), F.count(F.lit(1)).alias("rows"),
-        F.min("doc_id").alias("low"), F.max("doc_id").alias("high"),
-    ).first()
-    span = (found["high"] or 0) - (found["low"] or 0) + 1
-    top = [(r["item"], r["count"] * sparsest >= span, r["count"] * 2 * max_heavy >= found["rows"]) for r in found["top"] or []]
-    return postings.sparkSession.createDataFrame([(t, dense) for t, dense, large in top if dense or large], "term string, dense boolean")
-
-
-def term_frequencies(postings: DataFrame, max_heavy: int = MAX_HEAVY, sparsest: int = SPARSEST) -> DataFrame:
+def term_frequencies(postings: DataFrame, least: int = LEAST, share: int = SHARE) -> DataFrame:
     """term, df, cf of every term of postings(term, doc_id, tf).
 
     df counts distinct non-null doc_id, whatever their tf; cf sums tf over all rows as delivered (repeated rows repeat
     their tf, null counts 0). Trailing blanks of terms are dropped first; null terms are left aside; the empty term
-    is a term. An empty table gives no rows.
+    is a term. An empty table gives no rows. ``least``, ``share``: rows and share of the rows from which a term is heavy.
     """
     rows = postings.select(F.rtrim("term").alias("term"), F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("tf", F.lit(0)).cast("long").alias("tf"))
     rows = rows.filter(F.col("term").isNotNull())
-    heavy = heavy_terms(rows, max_heavy, sparsest)
-    known = F.broadcast(heavy)
-    arrays = (
-        rows.join(F.broadcast(heavy.filter("dense")), "term", "left_semi")
-        .groupBy("term", F.bitmap_bucket_number(F.coalesce("doc_id", F.lit(0))).alias("range"))
-        .agg(F.bitmap_construct_agg(F.bitmap_bit_position("doc_id")).alias("docs"), F.sum("tf").alias("tf"))
-        .select("term", F.when(F.length("docs") > 0, F.bitmap_count("docs")).otherwise(0).alias("n"), "tf")
-    )
-    heavy_counts = arrays.groupBy("term").agg(F.sum("n").cast("long").alias("df"), F.sum("tf").alias("cf"))
-    spread = (
-        rows.join(F.broadcast(heavy.filter("NOT dense")), "term", "left_semi")
-        .groupBy("term", "doc_id").agg(F.sum("tf").alias("tf"))
-        .groupBy("term").agg(F.count("doc_id").alias("df"), F.sum("tf").alias("cf"))
-    )
-    light = rows.join(known, "term", "left_anti").repartition("term")
-    # partitioned by term already: neither the distinct nor the count moves a row again
-    light_counts = (
-        light.groupBy("term", "doc_id").agg(F.sum("tf").alias("tf"))
-        .groupBy("term").agg(F.count("doc_id").alias("df"), F.sum("tf").alias("cf"))
-    )
-    counts = heavy_counts.unionByName(light_counts)
-    return counts.unionByName(spread) if heavy.filter("NOT dense").first() else counts
+    heavy, light = heavy_keys(rows, "term", least, share).split(rows, "term")
+    word = F.shiftright("doc_id", 6).alias("word")
+    counters = [F.bit_or(F.expr("shiftleft(1L, cast(doc_id & 63 AS int))")).alias("docs"), F.sum("tf").alias("tf")]
+    whole = [F.sum(F.coalesce(F.bit_count("docs"), F.lit(0))).cast("long").alias("df"), F.sum("tf").alias("cf")]
+    # partitioned by term: neither aggregation moves a row again
+    counts = light.repartition("term").groupBy("term", word).agg(*counters).groupBy("term").agg(*whole)
+    if heavy is None:
+        return counts
+    # the map side of the first aggregation fills the local counters; ranges of one term spread over the reducers
+    return heavy.groupBy("term", word).agg(*counters).groupBy("term").agg(*whole).unionByName(counts)
 
 
 def marked(frequencies: DataFrame, doc_index: DataFrame, rare_below: int = 3, common_percent: int = 40) -> DataFrame:
