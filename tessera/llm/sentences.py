@@ -48,6 +48,7 @@ _TOKEN = re.compile(rf"({_END})|[“„”«»‹›‘’\"()\[\]{{}}「」『
 _LETTERS = re.compile(r"\w+")
 _BEFORE = re.compile(r"[^\s“„”«»‹›‘\"()\[\]{}「」『』（）【】,;:—–]+$")
 _PAIRS = {"“": "”", "„": "“", "«": "»", "‹": "›", "‘": "’", "(": ")", "[": "]", "{": "}", "「": "」", "『": "』", "（": "）", "【": "】"}
+_CLOSING = frozenset(_PAIRS.values())
 _OPENERS = "“„«‹‘([{「『（【¿¡"
 
 
@@ -62,7 +63,7 @@ class Model:
 @dataclass
 class Candidate:
     """A place where a sentence may end. ``end`` follows the closing marks; ``inside``: within quotes or brackets that
-    opened in mid-sentence."""
+    opened in mid-sentence; ``mid``: the closing marks close such quotes or brackets."""
 
     start: int
     end: int
@@ -72,6 +73,7 @@ class Candidate:
     space: str
     following: str
     inside: bool
+    mid: bool = False
 
 
 def _cjk(c: str) -> bool:
@@ -136,13 +138,17 @@ def _lines(text: str, low: int, high: int) -> list[tuple[int, int, bool]]:
     """A block divided at list items: bullets next to other items or first in the block, numbers counting on."""
     starts = [m.start() for m in _LINE.finditer(text, low, high) if m.end() > m.start()]
     marks = [_BULLET.match(text, s, high) for s in starts]
+    labels = [(m[1] or int(m[2])) if m else None for m in marks]
+    nexts = [None] * len(labels)  # the label of the next line that has one
+    for i in range(len(labels) - 2, -1, -1):
+        nexts[i] = nexts[i + 1] if labels[i + 1] is None else labels[i + 1]
+    written = re.compile(r"\S").search(text, low, high)
+    first = written.start() if written else high
     out, begin, item, last = [], low, False, None
     for i, (s, m) in enumerate(zip(starts, marks)):
-        label = None
+        label = labels[i]
         if m:
-            label = m[1] or int(m[2])
-            alone = i == 0 or not text[low:s].strip()
-            after = next((x[1] or int(x[2]) for x in marks[i + 1 :] if x), None)
+            alone, after = i == 0 or s <= first, nexts[i]
             if m[1]:
                 good = alone or last == label or after == label or label in "•▪‣◦"
             else:
@@ -159,39 +165,56 @@ def _lines(text: str, low: int, high: int) -> list[tuple[int, int, bool]]:
 def candidates(text: str, low: int, high: int) -> list[Candidate]:
     """Candidates of one segment, in order. Marks within numbers, addresses and the like are none."""
     out: list[Candidate] = []
-    stack: list[tuple[str, int, bool]] = []
-    fresh = low  # where the stretch since the last candidate begins
+    stack: list[tuple[str, bool]] = []  # the mark that closes, and whether it opened in mid-sentence
+    waiting: collections.Counter = collections.Counter()  # closing marks on the stack
+    enclosing = 0  # those on the stack that opened in mid-sentence
+    last_at: dict[str, int] = {}  # where a mark stands last in the segment
+    begun, seen = False, low  # whether the stretch since the last candidate has begun, and up to where that was looked at
+
+    def close(mark: str) -> bool:
+        nonlocal enclosing
+        while True:
+            top, middle = stack.pop()
+            waiting[top] -= 1
+            enclosing -= middle
+            if top == mark:
+                return middle
+
     at = low
     while m := _TOKEN.search(text, at, high):
         at = m.end()
         c = m.group()
         if m[1] is None:
-            if c == '"' or c == "’" or c == "“" or c in _PAIRS.values():
-                closing = [i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == c]
+            if c == '"' or c == "’" or c == "“" or c in _CLOSING:
                 before = text[m.start() - 1 : m.start()]
-                opens = c == '"' and (not before.strip() or before in _OPENERS) and not closing
-                if closing:
-                    del stack[closing[-1] if c == '"' else closing[0] :]
+                if waiting[c]:
+                    close(c)
                     continue
-                if c != "“" and not opens:
+                if c != "“" and not (c == '"' and (not before.strip() or before in _OPENERS)):
                     continue
             wanted = _PAIRS.get(c, c)
-            if text.find(wanted, at, min(high, at + 2000)) >= 0:
-                stack.append((wanted, m.start(), bool(text[fresh : m.start()].strip())))
+            if wanted not in last_at:
+                last_at[wanted] = text.rfind(wanted, low, high)
+            if last_at[wanted] >= at:
+                begun = begun or bool(text[seen : m.start()].strip())
+                seen = m.start()
+                stack.append((wanted, begun))
+                waiting[wanted] += 1
+                enclosing += begun
             continue
-        end = at
+        end, mid = at, False
         # closing marks belong to the sentence they close
         while end < high:
             ch = text[end]
             if ch in _CLOSERS or ch == "“":
-                expected = [i for i in range(len(stack)) if stack[i][0] == ch]
+                expected = waiting[ch] > 0
                 if not expected and (ch == "“" or ch in "’'\"" and text[end + 1 : end + 2].isalnum()):
                     break
                 if expected:
-                    del stack[expected[-1] :]
+                    mid = close(ch) or mid
                 end += 1
-            elif ch in "   " and text[end + 1 : end + 2] in ("»", "›") and any(x[0] == text[end + 1] for x in stack):
-                del stack[max(i for i in range(len(stack)) if stack[i][0] == text[end + 1]) :]
+            elif ch in " \u00a0\u202f" and text[end + 1 : end + 2] in ("»", "›") and waiting[text[end + 1]] > 0:
+                mid = close(text[end + 1]) or mid
                 end += 2
             else:
                 break
@@ -211,9 +234,9 @@ def candidates(text: str, low: int, high: int) -> list[Candidate]:
         before = _BEFORE.search(text, max(low, m.start() - 40), m.start())
         token = before.group() if before else ""
         space = "none" if rest == end else "blank"
-        inside = any(x[2] for x in stack)
-        out.append(Candidate(m.start(), end, token, marks, text[m.end() : end].strip(), space, following, inside))
-        fresh = end
+        inside = enclosing > 0
+        out.append(Candidate(m.start(), end, token, marks, text[m.end() : end].strip(), space, following, inside, mid))
+        begun, seen = False, end
     return out
 
 
@@ -241,7 +264,7 @@ def features(c: Candidate, finals: dict[str, str]) -> list[str]:
     listed = word.strip(".") in ABBREVIATIONS if t == "." and not c.closers else False
     return [
         "1", f"t={t}", f"k={k}", f"t={t}&k={k}", f"c={c.closers}&k={k}", f"s={s}&k={k}&t={t}&sp={c.space}", f"f={final}", f"f={final}&k={k}",
-        f"sp={c.space}&k={k}&t={t}", f"l={listed}", f"l={listed}&k={k}", f"l={listed}&f={final}", f"w={'' if rare else word}", f"w={'' if rare else word}&k={k}",
+        f"sp={c.space}&k={k}&t={t}", f"l={listed}", f"l={listed}&k={k}", f"l={listed}&f={final}", f"w={'' if rare else word}", f"w={'' if rare else word}&k={k}", f"m={c.mid}&k={k}",
     ]
 
 
@@ -298,7 +321,7 @@ def train(texts: list[str], rounds: int = 150, ridge: float = 0.02) -> Model:
                     nxt = text[a:stop].lstrip()[:14]
                     wide = _cjk(nxt[:1]) or c.marks[-1] in "。！？"
                     ends[_key(c)] += 1
-                    examples.append((Candidate(c.start, c.end, c.token, c.marks, c.closers, "none" if wide else "blank", nxt, False), True))
+                    examples.append((Candidate(c.start, c.end, c.token, c.marks, c.closers, "none" if wide else "blank", nxt, False, c.mid), True))
                 elif k in ("lower", "comma", "dash", "open-lower"):
                     examples.append((c, False))
                 else:
@@ -320,14 +343,17 @@ def train(texts: list[str], rounds: int = 150, ridge: float = 0.02) -> Model:
         for nxt in ("Xx", "7"):
             rows[(tuple(features(Candidate(0, 0, word, ".", "", "blank", nxt, False), finals)), False)] += 2
     for word in ("7", "12"):
-        rows[(tuple(features(Candidate(0, 0, word, ".", "", "blank", "Mai", False), finals)), False)] += 4000
+        rows[(tuple(features(Candidate(0, 0, word, ".", "", "blank", "Mai", False), finals)), False)] += 200
     for word, space in (("A", "none"), ("A.B", "none"), ("Ph", "none")):
-        rows[(tuple(features(Candidate(0, 0, word, ".", "", space, "X", False), finals)), False)] += 4000
+        rows[(tuple(features(Candidate(0, 0, word, ".", "", space, "X", False), finals)), False)] += 200
     for word in ("A", "b"):
-        rows[(tuple(features(Candidate(0, 0, word, ".", "", "blank", "Xx", False), finals)), False)] += 400
+        rows[(tuple(features(Candidate(0, 0, word, ".", "", "blank", "Xx", False), finals)), False)] += 200
     for mark in "。？！":
         for closer in "”」』":
-            rows[(tuple(features(Candidate(0, 0, "", mark, closer, "none", "一", False), finals)), False)] += 4000
+            rows[(tuple(features(Candidate(0, 0, "", mark, closer, "none", "一", False), finals)), False)] += 200
+    for closer in ")]”»":
+        for nxt in ("xx", ","):
+            rows[(tuple(features(Candidate(0, 0, "words", ".", closer, "blank", nxt, False, True), finals)), False)] += 200
     for mark, nxt, space in ((".", "Xx", "blank"), ("!", "Xx", "blank"), ("?", "Xx", "blank"), ("…", "Xx", "blank"), (".", "7", "blank"), ("。", "一", "none"), ("！", "一", "none"), ("？", "一", "none"), ("।", "क", "blank"), ("؟", "ا", "blank"), (".", "ا", "blank"), (".", "一", "none"), ("?", "一", "none"), ("!", "Xx", "none"), ("?", "Xx", "none"), (".", "“X", "blank"), (".", "eXx", "blank"), (".", "Xx", "none"), (".", "—Xx", "blank")):
         for token in ("two", "four", "words", "Four", "Words") if mark == "." else ("words",):
             rows[(tuple(features(Candidate(0, 0, token, mark, "", space, nxt, False), finals)), True)] += 200
@@ -358,7 +384,7 @@ class Splitter:
         if c.inside or c.following == "" and c.space == "none":
             return not c.inside
         k = kind(c.following)
-        key = (c.token, c.marks, c.closers, c.space, k)
+        key = (c.token, c.marks, c.closers, c.space, k, c.mid)
         found = self.known.get(key)
         if found is None:
             if len(self.known) > self.limit:

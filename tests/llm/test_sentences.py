@@ -1,8 +1,10 @@
+import time
+
 import duckdb
 import pytest
 from pyspark.sql import functions as F
 
-from tessera.llm import sentences
+from tessera.llm import sampling, sentences
 
 
 @pytest.fixture(scope="module")
@@ -57,6 +59,22 @@ def test_rows(spark, splitter):
     assert sentences.sentences(df.limit(0), splitter.model).count() == 0
 
 
+def test_marks_close_however_far_away(splitter):
+    """A sentence wholly in brackets or quotes is one, and brackets within a sentence do not divide it, at any length."""
+    for n in (20, 5_000, 200_000):
+        inner = ("One word more. " * (n // 15)).strip()
+        for left, right in ("()", "“”", "«»"):
+            text = f"He read {left}{inner}{right} to us. Then he left."
+            assert [text[a:b] for a, b in splitter.split(text)] == [text[:-14], "Then he left."]
+
+
+def test_marks_that_never_close_take_linear_time(splitter):
+    began = time.perf_counter()
+    for text in ("( “ « " * 60_000 + "End. Next.", "(a “b” " * 50_000 + "End. Next.", "- item\n" * 50_000, "1. a\n\n" * 30_000, "(" * 100_000 + ")" * 100_000):
+        assert splitter.split(text)
+    assert time.perf_counter() - began < 20
+
+
 def test_no_training_texts():
     plain = sentences.Splitter(sentences.train([]))
     text = "Dr. Vorn came. He left! Why? See No. 7."
@@ -66,3 +84,7 @@ def test_no_training_texts():
 def test_fitting_is_bounded(spark):
     df = spark.createDataFrame([(i, f"Text {i}. More.") for i in range(20)], "doc_id long, text string")
     assert sentences.fit(df, sample=5).weights
+    long = df.unionByName(spark.createDataFrame([(99, "y" * 400)], "doc_id long, text string"))
+    found = sampling.texts(long, "text", "doc_id", 100, characters=200)
+    assert 0 < len(found) <= 15 and sum(map(len, found)) <= 200
+    assert sampling.texts(df.limit(0), "text", "doc_id", 5) == []
