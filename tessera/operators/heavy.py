@@ -34,11 +34,13 @@ def chunked(df: DataFrame, chunk_bytes: int = CHUNK_BYTES) -> tuple[DataFrame, i
 
 @dataclass(frozen=True)
 class Heavy:
-    """keys: at most ``SHARE`` of them, never null; rows, chunks: of the table as it was read, without null keys."""
+    """keys: at most ``SHARE`` of them, never null; rows, chunks: of the table as it was read, without null keys; counts: of
+    the rows of each key, as the sketch estimates them."""
 
     keys: list
     rows: int
     chunks: int
+    counts: list | None = None
 
     def split(self, df: DataFrame, key: str, nulls: bool = False) -> tuple[DataFrame | None, DataFrame]:
         """The rows of heavy keys (none where there are none) and all others. ``nulls``: rows without a key are heavy."""
@@ -72,5 +74,5 @@ def heavy_keys(df: DataFrame, key: str, least: int = LEAST, share: int = SHARE)
     top = top.groupBy(F.lit("all")).agg(*([sketch, F.count("k").alias("n"), parts] if first else merged))
     found = top.select(F.expr(f"approx_top_k_estimate(s, {share})").alias("top"), "n", "p")
     bar = F.greatest(F.lit(least).cast("double"), F.col("n") / share)
-    row = found.select(F.transform(F.filter("top", lambda x: x["count"] >= bar), lambda x: x["item"]).alias("keys"), "n", "p").first()
-    return Heavy(row["keys"], row["n"], row["p"] + 1) if row else Heavy([], 0, 1)
+    row = found.select(F.filter("top", lambda x: x["count"] >= bar).alias("top"), "n", "p").first()
+    return Heavy([x["item"] for x in row["top"]], row["n"], row["p"] + 1, [x["count"] for x in row["top"]]) if row else Heavy([], 0, 1, [])

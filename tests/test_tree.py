@@ -67,7 +67,7 @@ def test_heavy_keys(spark, monkeypatch, most):
     monkeypatch.setattr(heavy, "chunked", lambda x: (x, most))
     df = spark.range(20_000).selectExpr("if(id % 2 = 0, 'a', if(id % 3 = 0, null, concat('x', id))) AS k").repartition(5)
     found = heavy.heavy_keys(df, "k", least=100)
-    assert found.keys == ["a"] and found.rows == 20_000 - 3333 and found.chunks == 5
+    assert found.keys == ["a"] and found.counts == [10_000] and found.rows == 20_000 - 3333 and found.chunks == 5
     assert heavy.heavy_keys(df.filter("k IS NULL"), "k").keys == []
 
 
