@@ -102,11 +102,21 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairs.select(F.col("key_a").alias("doc_no_a"), F.col("key_b").alias("doc_no_b"))
 
 
-@query()
+# groups by following links to and fro; links as the pairs say. A document number with one text only
+_GROUPS = _WORDS.replace("WITH w AS", "WITH RECURSIVE w AS").replace("SELECT DISTINCT doc_no_a", ", l AS (SELECT DISTINCT doc_no_a") + (
+    "), e AS (SELECT doc_no_a AS x, doc_no_b AS y FROM l UNION ALL SELECT doc_no_b, doc_no_a FROM l), "
+    "r AS (SELECT DISTINCT x, x AS y FROM e UNION SELECT r.x, e.y FROM r JOIN e ON r.y = e.x), "
+    "g AS (SELECT x, min(y) AS least FROM r GROUP BY x), d AS (SELECT x, count(*) AS n FROM e GROUP BY x), "
+    "k AS (SELECT DISTINCT rtrim(doc_no, ' ') AS doc_no FROM passages WHERE doc_no IS NOT NULL) "
+    "SELECT k.doc_no, coalesce(g.least, k.doc_no) AS group_doc_no, coalesce(d.n, 0)::BIGINT AS links FROM k LEFT JOIN g ON g.x = k.doc_no LEFT JOIN d ON d.x = k.doc_no"
+)
+
+
+@query(_GROUPS)
 def p5_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     passages = table(spark, sf_dir, "passages")
     found = neardup.near_duplicates(passages, "doc_no", "text", WORDS)
-    kept = neardup.NearDuplicates(found.members, cut(found.links))
+    kept = neardup.NearDuplicates(cut(found.members), cut(found.links))
     groups = neardup.record_groups(kept, passages, "doc_no")
     return groups.select(F.col("key").alias("doc_no"), F.col("group_key").alias("group_doc_no"), "links")
 

@@ -36,9 +36,10 @@ def frame(spark, rows):
     return spark.createDataFrame(rows, "doc_no string, text string").withColumn("set_id", F.lit(1)).withColumn("key", F.lit("x")).repartition(5)
 
 
-@pytest.mark.parametrize("crowded", [20_000, 4])
-def test_pairs_and_groups(spark, crowded):
-    how = neardup.Banding(threshold=0.7, shingle=1, min_size=10, crowded=crowded, block=2, probe=1)
+@pytest.mark.parametrize(("crowded", "block"), [(20_000, 8_000), (20_000, 2), (4, 2)])
+def test_pairs_and_groups(spark, crowded, block):
+    """Whole buckets, buckets divided by the task that meets them, and buckets divided where they are read."""
+    how = neardup.Banding(threshold=0.7, shingle=1, min_size=10, crowded=crowded, block=block, probe=1)
     rows = corpus(1) + [("same1", "a b c d e f g h i j k"), ("same2  ", "K, j i h. g f e d c b a!"), ("same2", "K, j i h. g f e d c b a!"), ("few", "a b c"), ("null", None), ("blank", " \n"), (None, "x")]
     df = frame(spark, rows)
     found = neardup.near_duplicates(df, "doc_no", "text", how)
@@ -63,6 +64,31 @@ def test_pairs_and_groups(spark, crowded):
     assert set(groups) == {k.rstrip(" ") for k, _ in rows if k is not None}
 
 
+def test_many_crowded_buckets(spark):
+    """400 sets of very similar words fill every bucket far beyond the block size; every pair comes out."""
+    rng = random.Random(5)
+    base = [f"word{i}" for i in range(200)]
+    rows = [(f"k{i}", " ".join([w for w in base if rng.random() > 0.004] + [f"own{i}"])) for i in range(400)]
+    how = neardup.Banding(threshold=0.7, shingle=1, min_size=10, block=16)
+    found = neardup.near_duplicates(spark.createDataFrame(rows, "doc_no string, text string"), "doc_no", "text", how)
+    assert neardup.record_pairs(found).count() == 400 * 399 // 2
+
+
+def test_sets_that_share_a_name(spark):
+    """Different sets with equal 64-bit names stay different sets."""
+    rows = [("a", "one two three four five six seven eight nine ten x"), ("b", "one two three four five six seven eight nine ten y"), ("c", "far off other words that have not any thing in common"), ("d", "far off other words that have not any thing in common")]
+    how = neardup.Banding(threshold=0.7, shingle=1, min_size=10)
+    df = spark.createDataFrame(rows, "doc_no string, text string")
+    found = neardup.near_duplicates(df, "doc_no", "text", how)
+    sets = {r["key"]: (r["set_id"], r["other"]) for r in found.members.collect()}
+    same = F.col("set_id").isin(sets["a"][0], sets["c"][0])
+    mapped = found.members.withColumn("set_id", F.when(same, F.lit(7)).otherwise(F.col("set_id")))
+    links = found.links.withColumn("a", F.when(F.col("a") == sets["a"][0], F.lit(7)).otherwise(F.col("a"))).withColumn("b", F.when(F.col("b") == sets["a"][0], F.lit(7)).otherwise(F.col("b")))
+    renamed = neardup.NearDuplicates(mapped, links)
+    assert {tuple(r) for r in neardup.record_pairs(renamed).collect()} == {("a", "b"), ("c", "d")}
+    assert {tuple(r) for r in neardup.record_groups(renamed, df, "doc_no").collect()} == {("a", "a", 1), ("b", "a", 1), ("c", "c", 1), ("d", "c", 1)}
+
+
 def test_word_five_grams(spark):
     rng = random.Random(2)
     text = [f"w{rng.randint(0, 500)}" for _ in range(200)]
@@ -82,6 +108,9 @@ def test_no_rows(spark):
 
 def test_bands_follow_from_recall():
     assert neardup.Banding(threshold=0.7, rows=6, recall=0.96).bands == 26
+    assert WORDS.fitted(2_000_000).rows == 5 and WORDS.fitted(2_000_000).bands == 18
+    large = WORDS.fitted(10**10)
+    assert large.rows > 6 and 1 - (1 - 0.7**large.rows) ** large.bands >= 0.96
     assert neardup.Banding(threshold=0.8, rows=6, recall=0.99).bands == 16
     assert [neardup.words("A-b, C\td e\n")] == [[b"ab", b"c", "d e".encode()]]
 
