@@ -20,8 +20,8 @@ from tessera.operators.ranking import chunked_row_number
 from tessera.plans.lineage import cut
 
 CAPACITY = 2048
-#: Rank chunks a length is divided into.
-CHUNKS = 256
+#: Items of one length that are ranked together.
+CHUNK_ITEMS = 1 << 18
 
 
 def plan(histogram: dict[int, int], capacity: int = CAPACITY) -> np.ndarray:
@@ -52,7 +52,7 @@ def plan(histogram: dict[int, int], capacity: int = CAPACITY) -> np.ndarray:
     return out[np.lexsort((out[:, 1], out[:, 0]))]
 
 
-def pack(sizes: DataFrame, capacity: int = CAPACITY, chunks: int = CHUNKS) -> DataFrame:
+def pack(sizes: DataFrame, capacity: int = CAPACITY, chunk_items: int = CHUNK_ITEMS) -> DataFrame:
     """doc_id, part, start, n_tokens, container, position for sizes(doc_id, n_tokens); doc_id must be unique.
 
     ``start`` is the part's first token in its document, ``position`` its place in the container. Documents of at most
@@ -78,9 +78,12 @@ def pack(sizes: DataFrame, capacity: int = CAPACITY, chunks: int = CHUNKS) -> Da
                 "container": container[at] + batch["rank"] - first_rank[at], "position": offset[at],
             })
 
-    by_chunk = F.pmod(F.xxhash64("doc_id", "part"), F.lit(chunks))
-    ordered = parts.withColumn("_order", F.struct("doc_id", "part"))
-    ranked = chunked_row_number(ordered, "n_tokens", "_order", by_chunk)
+    # a length has as many chunks as its count asks for: one row each, and one for every chunk_items items besides
+    chunks = [(int(x), -(-n // chunk_items)) for x, n in histogram.items()]
+    known = sizes.sparkSession.createDataFrame(chunks, "n_tokens int, _chunks int")
+    ordered = parts.join(F.broadcast(known), "n_tokens").withColumn("_order", F.struct("doc_id", "part"))
+    by_chunk = F.pmod(F.xxhash64("doc_id", "part"), F.col("_chunks"))
+    ranked = chunked_row_number(ordered, "n_tokens", "_order", by_chunk, few=True)
     return ranked.select("doc_id", "part", "start", "n_tokens", "rank").mapInPandas(
         place, "doc_id bigint, part int, start bigint, n_tokens int, container bigint, position int"
     )
@@ -93,3 +96,18 @@ def fill(packed: DataFrame, capacity: int = CAPACITY) -> DataFrame:
         "containers", "tokens", F.ceil(F.col("tokens") / capacity).alias("least"),
         F.when(F.col("containers") > 0, F.col("tokens") / (F.col("containers") * capacity)).alias("fill"),
     )
+
+
+def checks(packed: DataFrame, capacity: int = CAPACITY) -> DataFrame:
+    """documents, over_full, with_gaps, divided_short, missing_numbers: one row; all but the first are 0 for a sound packing."""
+    ends = F.col("position") + F.col("n_tokens")
+    of = packed.groupBy("container").agg(F.sum("n_tokens").alias("tokens"), F.max(ends).alias("end"), F.sum(F.when(F.col("position") == 0, 1).otherwise(0)).alias("firsts"))
+    count = lambda condition: F.coalesce(F.sum(condition.cast("long")), F.lit(0))
+    containers = of.agg(
+        count(F.col("end") > capacity).alias("over_full"), count((F.col("tokens") != F.col("end")) | (F.col("firsts") != 1)).alias("with_gaps"),
+        F.coalesce(F.max("container") + 1 - F.count(F.lit(1)), F.lit(0)).alias("missing_numbers"),
+    )
+    parts = packed.groupBy("doc_id").agg(F.count(F.lit(1)).alias("parts"), F.sum("n_tokens").alias("n"), F.max(F.col("start") + F.col("n_tokens")).alias("end"))
+    whole = F.col("n") == F.col("end")
+    documents = parts.agg(count(whole).alias("documents"), count((F.col("parts") > 1) & (F.col("n") <= capacity)).alias("divided_short"))
+    return documents.crossJoin(containers).select("documents", "over_full", "with_gaps", "divided_short", "missing_numbers")

@@ -131,6 +131,13 @@ def p7_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(tokenizer.token_counts(table(spark, sf_dir, "documents")))
 
 
+@query("SELECT count(*) FILTER (length(text) > 0) AS documents, 0::BIGINT AS over_full, 0::BIGINT AS with_gaps, 0::BIGINT AS divided_short, 0::BIGINT AS missing_numbers FROM documents")
+def p7_containers_hold(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What every packing must keep: each document with tokens is there with all its parts, no container is over-full or has
+    a gap between its items, no document that fits is divided, and containers are numbered without gaps."""
+    return packing.checks(packing.pack(tokenizer.token_counts(table(spark, sf_dir, "documents"))))
+
+
 @query()
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = table(spark, sf_dir, "documents")

@@ -1,10 +1,11 @@
 """Problem 6: encoding a corpus with a public byte-level tokenizer.
 
-Most texts are encoded whole, in Arrow batches, without a shuffle. Longer ones are cut into pieces that are encoded in
-parallel. A cut before a single blank between two non-blanks is one where the tokenizer always divides. Where a stretch
-offers none, it is cut in the middle and the two encodings are joined by tree concatenation: a window of tokens around
-the join is encoded again, and grows until its first and last tokens equal those of both sides. Two adjacent tokens of a
-byte-pair encoding are valid in any context or in none, so agreement at both ends makes the result that of the whole.
+Texts are encoded in Arrow batches, in one reading and without a shuffle. Longer ones are cut into pieces, which threads of
+the task encode in parallel (the tokenizer works outside the interpreter's lock). A cut before a single blank between two
+non-blanks is one where the tokenizer always divides. Where a stretch offers none, it is cut in the middle and the two
+encodings are joined by tree concatenation: a window of tokens around the join is encoded again, and grows until its first
+and last tokens equal those of both sides. Two adjacent tokens of a byte-pair encoding are valid in any context or in
+none, so agreement at both ends makes the result that of the whole.
 """
 
 from __future__ import annotations
@@ -12,6 +13,7 @@ from __future__ import annotations
 import base64
 import re
 from collections.abc import Callable, Iterator
+from concurrent.futures import ThreadPoolExecutor
 from functools import lru_cache
 
 import numpy as np
@@ -21,6 +23,10 @@ from pyspark.sql import functions as F
 
 #: Texts with more characters than this are cut, into pieces of about this size.
 PIECE = 1 << 14
+#: Pieces of one text that are encoded at once.
+THREADS = 4
+#: Tokens from which what is ready of a batch goes out.
+BATCH_TOKENS = 1 << 21
 DEFAULT_RANKS = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 
 # Fixed value: how the tokenizer divides a text before it merges bytes.
@@ -102,44 +108,29 @@ def _id_lists(arrays: list[np.ndarray]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(values))
 
 
-def _over_texts(shape: Callable[[list[np.ndarray]], pa.Array], name: str, ranks_path: str) -> Callable:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids = [encode(t, ranks_path) if t else np.empty(0, dtype=np.uint32) for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), shape(ids)], names=["doc_id", name])
-
-    return run
-
-
-def _pieces(piece: int) -> Callable:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                where = cuts(text, piece)
-                edges = [0, *(p for p, _ in where), len(text)]
-                n = len(edges) - 1
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([doc] * n, pa.int64()), pa.array(range(n), pa.int32()), pa.array([False, *(s for _, s in where)]), pa.array([text[a:b] for a, b in zip(edges, edges[1:])])],
-                    names=["doc_id", "piece", "soft", "text"],
-                )
-
-    return run
+def encode_long(text: str, ranks_path: str = DEFAULT_RANKS, piece: int = PIECE, pool: ThreadPoolExecutor | None = None) -> np.ndarray:
+    """The encoding of a text of any length, equal to that of the whole at once."""
+    if len(text) <= piece:
+        return encode(text, ranks_path)
+    where = cuts(text, piece)
+    edges = [0, *(p for p, _ in where), len(text)]
+    parts = (text[a:b] for a, b in zip(edges, edges[1:]))
+    coded = (pool.map if pool else map)(lambda part: encode(part, ranks_path), parts)
+    return concatenate(list(coded), [False, *(s for _, s in where)], ranks_path)
 
 
-def _encode_pieces(ranks_path: str) -> Callable:
+def _over_texts(shape: Callable[[list[np.ndarray]], pa.Array], name: str, ranks_path: str, piece: int) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids = _id_lists([encode(t, ranks_path) for t in batch.column(3).to_pylist()])
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), ids], names=["doc_id", "piece", "soft", "ids"])
-
-    return run
-
-
-def _join_pieces(ranks_path: str) -> Callable:
-    def run(table: pa.Table) -> pa.Table:
-        rows = sorted(zip(table["piece"].to_pylist(), table["soft"].to_pylist(), table["ids"].to_numpy(zero_copy_only=False)), key=lambda r: r[0])
-        ids = concatenate([np.asarray(r[2], dtype=np.uint32) for r in rows], [r[1] for r in rows], ranks_path)
-        return pa.table({"doc_id": table["doc_id"][:1], "ids": _id_lists([ids])})
+        with ThreadPoolExecutor(THREADS) as pool:
+            for batch in batches:
+                ids: list[np.ndarray] = []
+                at, held = 0, 0
+                for i, text in enumerate(batch.column(1).to_pylist()):
+                    ids.append(encode_long(text, ranks_path, piece, pool) if text else np.empty(0, dtype=np.uint32))
+                    held += len(ids[-1])
+                    if held > BATCH_TOKENS or i == batch.num_rows - 1:  # a batch of long texts goes out in parts
+                        yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(ids)), shape(ids)], names=["doc_id", name])
+                        ids, at, held = [], i + 1, 0
 
     return run
 
@@ -151,17 +142,11 @@ def token_ids(documents: DataFrame, ranks_path: str = DEFAULT_RANKS, piece: int
     like any other. Other columns are ignored.
     """
     rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    long = F.coalesce(F.length("text") > piece, F.lit(False))
-    short = rows.filter(~long).mapInArrow(_over_texts(_id_lists, "ids", ranks_path), "doc_id bigint, ids array<int>")
-    parts = rows.filter(long).mapInArrow(_pieces(piece), "doc_id bigint, piece int, soft boolean, text string")
-    coded = parts.repartition("doc_id", "piece").mapInArrow(_encode_pieces(ranks_path), "doc_id bigint, piece int, soft boolean, ids array<int>")
-    return short.unionByName(coded.groupBy("doc_id").applyInArrow(_join_pieces(ranks_path), "doc_id bigint, ids array<int>"))
+    return rows.mapInArrow(_over_texts(_id_lists, "ids", ranks_path, piece), "doc_id bigint, ids array<int>")
 
 
 def token_counts(documents: DataFrame, ranks_path: str = DEFAULT_RANKS, piece: int = PIECE) -> DataFrame:
     """doc_id, n_tokens: the lengths of ``token_ids``, with only the lengths leaving Python."""
     rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    long = F.coalesce(F.length("text") > piece, F.lit(False))
     lengths = lambda ids: pa.array([len(i) for i in ids], pa.int32())
-    short = rows.filter(~long).mapInArrow(_over_texts(lengths, "n_tokens", ranks_path), "doc_id bigint, n_tokens int")
-    return short.unionByName(token_ids(rows.filter(long), ranks_path, piece).select("doc_id", F.size("ids").alias("n_tokens")))
+    return rows.mapInArrow(_over_texts(lengths, "n_tokens", ranks_path, piece), "doc_id bigint, n_tokens int")

@@ -50,6 +50,20 @@ def test_token_ids(spark):
     assert tokenizer.token_ids(df.limit(0)).count() == 0
 
 
+def test_one_reading_and_no_shuffle(spark, tmp_path, monkeypatch):
+    """Batches of long texts go out in parts; the corpus is read once."""
+    monkeypatch.setattr(tokenizer, "BATCH_TOKENS", 10)
+    spark.createDataFrame([(i, f"some words {i} " * 20) for i in range(9)], "doc_id long, text string").coalesce(1).write.parquet(str(tmp_path / "d"))
+    df = spark.read.parquet(str(tmp_path / "d"))
+    coded = tokenizer.token_ids(df, piece=50)
+    plan = coded._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan") == 1 and "Exchange" not in plan
+    run = tokenizer._over_texts(tokenizer._id_lists, "ids", tokenizer.DEFAULT_RANKS, 50)
+    parts = list(run(iter(df.toArrow().to_batches())))
+    assert len(parts) == 9 and [p.column(0)[0].as_py() for p in parts] == list(range(9))
+    assert {r["doc_id"]: r["ids"] for r in coded.collect()} == {i: tokenizer.encode(f"some words {i} " * 20).tolist() for i in range(9)}
+
+
 def check(sizes, rows, capacity):
     """Whole, in order, within capacity, and without gaps in containers or numbers."""
     parts, containers = {}, {}
@@ -78,9 +92,10 @@ def test_packing(spark, seed):
     rng = random.Random(seed)
     sizes = {i: rng.choice([None, 0, 1, 5, 5, 5, 17, 40, 64, 65, 128, 500, rng.randint(1, 64)]) for i in range(700)}
     df = spark.createDataFrame(list(sizes.items()), "doc_id long, n_tokens int").withColumn("rank", F.lit(0)).withColumn("container", F.lit(0)).repartition(5)
-    packed = packing.pack(df, capacity=64, chunks=7)
+    packed = packing.pack(df, capacity=64, chunk_items=20)
     rows = packed.collect()
     check(sizes, rows, 64)
+    assert tuple(packing.checks(packed, 64).first()) == (sum(1 for n in sizes.values() if n), 0, 0, 0, 0)
     f = packing.fill(packed, 64).first()
     assert f["fill"] > 0.95 and f["containers"] <= f["least"] * 1.06 + 1
 
