@@ -57,11 +57,15 @@ _BLOCKS = (
 )
 _SPECIAL = {0xFFFD: 5, 0xFEFF: 6}
 COMMON, RARE, OTHER, EDGE = 7, 8, 9, 10
+_LOST = re.compile(LOST)
 _WORD = re.compile(r"[^\W\d_]+")
 _ODD = re.compile(r"[^\x00-\x7F]+")
 _CUT = re.compile(rb"(?<=[\xc2-\xf4]) |(?<=[\xe0-\xf4][\x80-\xbf]) ")
 _FIRST = 11
 
+#: Characters that are labelled at once; longer texts take several windows and give the same path.
+WINDOW = 1 << 14
+
 ENTER, LEAVE = 10.0, 4.0
 #: What a repaired span must gain in clean log likelihood.
 MARGIN = 4.0
@@ -268,28 +272,40 @@ class Labeller:
             out[unknown] = self.model.single[key[unknown] % self.model.size]
         return out
 
-    def steps(self, points: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Positions whose emission differs between states (a character beyond ASCII, or the one after it) and their pairs."""
-        s = self.model.symbols[points].astype(np.int64)
-        before = np.concatenate([[3], s[:-1]])
-        where = np.flatnonzero((s > 4) | (before > 4))
-        return where, before[where] * self.model.size + s[where]
+    def steps(self, text: str, before: int = 3) -> tuple[np.ndarray, np.ndarray, int]:
+        """Positions whose emission differs between states (a character beyond ASCII, or the one after it), their pairs,
+        and the last symbol. ``before``: the symbol before the text."""
+        s = self.model.symbols[code_points(text)].astype(np.int64)
+        previous = np.concatenate([[before], s[:-1]])
+        where = np.flatnonzero((s > 4) | (previous > 4))
+        return where, previous[where] * self.model.size + s[where], int(s[-1]) if len(s) else before
+
+    def windows(self, text: str) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """(start, positions, pairs) of stretches of bounded length, as ``steps`` of the whole text would give them."""
+        last = 3
+        for start in range(0, len(text), WINDOW):
+            where, key, last = self.steps(text[start : start + WINDOW], last)
+            yield start, where, key
 
     def label(self, texts: list[str]) -> list[list[tuple[int, int, int]]]:
-        """For each text the spans (start, end, state) that are not clean; state -1 marks lost characters."""
+        """For each text the spans (start, end, state) that are not clean. State -1 is that of lost characters: it alone emits
+        the replacement character, and nothing else, so every path takes it there and only there."""
         out: list[list[tuple[int, int, int]]] = [[] for _ in texts]
         todo = []
         for i, text in enumerate(texts):
             if not text or text.isascii():
                 continue
-            points = code_points(text)
-            where, key = self.steps(points)
-            row = self.rows[key]
-            bound = np.where(row >= 0, self.most[row], self.most_single[key % self.model.size])
-            if bound.sum() > self.least:
-                todo.append((i, where, key))
-            lost = np.flatnonzero(points == 0xFFFD)
-            out[i].extend((int(p), int(p) + 1, -1) for p in lost)
+            bound, first = 0.0, None
+            for start, where, key in self.windows(text):
+                row = self.rows[key]
+                bound += float(np.where(row >= 0, self.most[row], self.most_single[key % self.model.size]).sum())
+                first = (i, where, key) if start == 0 else first
+            if bound > self.least:
+                if len(text) <= WINDOW:
+                    todo.append(first)
+                else:
+                    out[i].extend(self._search_long(text))
+            out[i].extend((m.start(), m.end(), -1) for m in _LOST.finditer(text))
         todo.sort(key=lambda x: len(x[1]))
         at = 0
         while at < len(todo):
@@ -300,6 +316,50 @@ class Labeller:
             self._search(group, out)
         return out
 
+    def _forward(self, key: np.ndarray, value: np.ndarray, clean: np.float32) -> tuple[np.ndarray, np.float32, np.ndarray, np.ndarray]:
+        """Viterbi over one stretch of one text from given scores: scores at its end, and for each step which states were
+        entered from clean and which state clean text came from (or -1)."""
+        came, left = np.zeros((len(key), len(value)), dtype=bool), np.full(len(key), -1, dtype=np.int16)
+        for t, gain in enumerate(self._gain(key)):
+            best = int(value.argmax())
+            top = value[best] - np.float32(LEAVE)
+            enter = clean - self.model.enter
+            came[t] = enter > value
+            value = np.where(came[t], enter, value) + gain
+            if top > clean:
+                left[t], clean = best, top
+        return value, clean, came, left
+
+    def _search_long(self, text: str) -> list[tuple[int, int, int]]:
+        """The best path of a text of any length in bounded memory: scores are kept where windows meet, and the windows are
+        gone through again from the last to the first, each with its own way back."""
+        value, clean = np.full(len(self.model.pairs), -np.inf, dtype=np.float32), np.float32(0)
+        kept = []
+        for start, _, key in self.windows(text):
+            kept.append((start, value, clean, int(self.model.symbols[ord(text[start - 1])]) if start else 3))
+            value, clean = self._forward(key, value, clean)[:2]
+        state, end = int(value.argmax()), None
+        state = state if value[state] > clean else -1
+        spans = []
+        later: int | None = None  # the position of the step after, where clean text may have come from a state
+        for start, value, clean, before in reversed(kept):
+            where, key, _ = self.steps(text[start : start + WINDOW], before)
+            _, _, came, left = self._forward(key, value, clean)
+            for t in range(len(key) - 1, -1, -1):
+                here = start + int(where[t])
+                if later is not None:  # left at the step after this one
+                    end, later = here + 1, None
+                if state < 0:
+                    if left[t] >= 0:
+                        state, later = int(left[t]), here
+                    continue
+                if end is None:
+                    end = here + 1
+                if came[t, state]:
+                    spans.append((here, end, state))
+                    state, end = -1, None
+        return spans[::-1]
+
     def _search(self, group: list, out: list) -> None:
         longest = max(len(w) for _, w, _ in group)
         states = len(self.model.pairs)
@@ -349,11 +409,13 @@ class Labeller:
 
     def likelihood(self, text: str) -> tuple[float, float]:
         """Clean log likelihood of the characters that tell states apart, and the share of them known after their neighbour."""
-        _, key = self.steps(code_points(text))
-        row = self.rows[key]
-        value = np.where(row >= 0, self.model.clean[row], self.model.clean_single[key % self.model.size])
-        known = (row >= 0) & self.model.known[row]
-        return float(value.sum()), float(known.mean()) if len(key) else 1.0
+        value, known, n = 0.0, 0, 0
+        for _, _, key in self.windows(text):
+            row = self.rows[key]
+            value += float(np.where(row >= 0, self.model.clean[row], self.model.clean_single[key % self.model.size]).sum())
+            known += int(((row >= 0) & self.model.known[row]).sum())
+            n += len(key)
+        return value, known / n if n else 1.0
 
     def stands(self, text: str, a: int, b: int, state: int, original: str, was: float) -> bool:
         """Whether an exact original is believable. Bytes that happen to be sound UTF-8 are proof enough; other encodings
@@ -379,8 +441,7 @@ class Labeller:
 
     def _rivals(self, text: str, state: int, most: int = 8) -> list[int]:
         """The state, then others by what they gain from the text."""
-        _, key = self.steps(code_points(text))
-        total = self._gain(key).sum(axis=0)
+        total = sum(self._gain(key).sum(axis=0) for _, _, key in self.windows(text))
         return [state, *(int(s) for s in np.argsort(-total)[:most] if s != state)]
 
     def checked(self, text: str, span: tuple[int, int, int]) -> tuple[int, int, int, str | None] | None:

@@ -1,4 +1,5 @@
 import random
+import tracemalloc
 
 import duckdb
 import pytest
@@ -77,3 +78,31 @@ def test_no_training_texts(spark):
     empty = spark.createDataFrame([], "doc_id long, text string")
     model = mojibake.train((empty, "text", "doc_id"), [(empty, "text", "doc_id")])
     assert mojibake.Labeller(model).damage(["plain", "", "a caf� b"])[2]
+
+
+def test_windows_give_the_same_path(texts, model, monkeypatch):
+    """Long texts in windows of any size are labelled as in one piece, across window borders, too."""
+    rng = random.Random(4)
+    long = []
+    for _ in range(6):
+        parts = [mojibake.garble(t, rng.choice([("utf-8", "cp1252", 1), ("utf-8", "cp1251", 1), ("cp1251", "koi8-r", 1)])) if rng.random() < 0.4 else t for t in rng.sample(texts, 12)]
+        long.append(" ".join(parts)[:9000])
+    labeller = mojibake.Labeller(model)
+    whole, likely = labeller.label(long), [labeller.likelihood(t) for t in long]
+    rivals = [labeller._rivals(t, 0) for t in long]
+    for window in (7, 1000, 8999):
+        monkeypatch.setattr(mojibake, "WINDOW", window)
+        assert labeller.label(long) == whole and sum(map(len, whole)) > 10
+        assert [labeller._rivals(t, 0) for t in long] == rivals
+        assert all(abs(a[0] - b[0]) < 1e-3 * max(1, abs(b[0])) and a[1] == b[1] for a, b in zip((labeller.likelihood(t) for t in long), likely))
+
+
+def test_memory_of_a_very_long_text(texts, model):
+    """The working memory does not grow with states times length: far under a byte a state and character."""
+    text = mojibake.garble("".join(t for t in texts if not t.isascii())[:150_000], ("utf-8", "cp1252", 1)) * 2
+    labeller = mojibake.Labeller(model)
+    tracemalloc.start()
+    found = labeller.damage([text])[0]
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert found and len(text) > 300_000 and peak < 45_000_000
