@@ -140,7 +140,10 @@ def _evaluator(shared, k: int, conjunctive: bool, prune: bool) -> Callable:
 
 
 def evaluate(weighted: DataFrame, queries: QuerySet, k: int, conjunctive: bool, prune: bool) -> DataFrame:
-    """query_id, doc_id, score: the k best of each query in each partition, from weighted(doc_id, term number, weight)."""
+    """query_id, doc_id, score: the k best of each query in each partition, from weighted(doc_id, term number, weight).
+
+    The number of partitions is left to adaptive execution, which sizes them by what was shuffled (64 MB by default, millions
+    of postings), so the lists of k that leave them are a few percent of that."""
     shared = weighted.sparkSession.sparkContext.broadcast(queries)
     rows = weighted.select("doc_id", "number", "w").repartition("doc_id").sortWithinPartitions("doc_id")
     return rows.mapInArrow(_evaluator(shared, k, conjunctive, prune and not conjunctive), "query_id bigint, doc_id bigint, score double").select(
