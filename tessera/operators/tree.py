@@ -1,10 +1,10 @@
 """Per-key distinct counts where a few keys hold most rows: multi-level tree aggregation.
 
-Input is read in chunks of fixed size. Each chunk combines its own rows into set states before anything moves. A state is
-one 64-bit word: the values of a key within an aligned range of 64, so it has a fixed size however many rows the key has,
-and plain hash aggregation combines it. The keys that a sketch names as heavy take the tree: their states are merged in
-rounds that join at most ``fan_in`` neighbouring chunks each, until one is left. All other keys leave the tree after the
-first round, since none of them has more than one row in 20,000.
+Input is read in chunks of fixed size. The keys that a sketch names as heavy take the tree: each chunk combines its own rows
+of them into set states before anything moves, and states are merged in rounds that join at most ``fan_in`` neighbouring
+chunks each, until one is left. A state is one 64-bit word: the values of a key within an aligned range of 64, so it has a
+fixed size however many rows the key has, and plain hash aggregation combines it. All other keys leave the tree: none of
+them has more than one row in 20,000, and their rows meet in one shuffle.
 """
 
 from __future__ import annotations

@@ -40,7 +40,7 @@ def spread(rows: DataFrame) -> DataFrame:
     if files and all(f.endswith((".gz", ".bz2")) for f in files):
         parts = len(files)
     else:
-        parts = estimated_bytes(rows) // int(spark.conf.get("spark.sql.files.maxPartitionBytes").rstrip("bB"))
+        parts = estimated_bytes(rows) // int(spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes())
     return rows.repartition(cores) if parts < cores else rows
 
 

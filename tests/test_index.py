@@ -183,6 +183,17 @@ def test_ids_in_the_order_of_the_lines(spark, tmp_path):
     assert sorted((r["doc_id"], r["doc_no"]) for r in zipped.collect()) == [(i, str(i)) for i in range(300)]
 
 
+@pytest.mark.parametrize("size", ["16m", "134217728b", "1g"])
+def test_spread_reads_any_size(spark, tmp_path, size):
+    (tmp_path / "a.tsv").write_text("1\ta\n2\tb\n")
+    whole = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+    try:
+        assert collection.read_collection(spark, str(tmp_path / "a.tsv")).count() == 2
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", whole)
+
+
 def test_ids_in_the_order_of_rows(spark):
     rows = collection.from_rows(spark, [(str(i), None) for i in (9, 10, 2, 33, 1)])
     assert {(r["doc_id"], r["doc_no"]) for r in collection.with_ids(rows).collect()} == set(enumerate(["9", "10", "2", "33", "1"]))
