@@ -15,8 +15,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Most (query, term) rows that are sent to every worker; larger sets take the join plan.
-MAX_QUERY_TERMS = 1_000_000
+#: Most (query, term) rows that are sent to every worker; larger sets are dealt out (see ``bulk``).
+MAX_QUERY_TERMS = 100_000
 #: Documents a block holds.
 BLOCK = 8192
 _SLACK = 1e-9

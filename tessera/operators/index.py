@@ -39,10 +39,13 @@ class Stats:
 
 @dataclass(frozen=True)
 class Index:
+    """``docs``: the analysed rows (doc_id, tokens, doc_len), where the index still has them."""
+
     doc_index: DataFrame
     postings: DataFrame
     lexicon: DataFrame
     stats: Stats
+    docs: DataFrame | None = None
 
 
 def analysed(documents: DataFrame, stop_words: Sequence[str] | None = None, stem: bool = False) -> DataFrame:
@@ -106,7 +109,7 @@ def build(documents: DataFrame, stop_words: Sequence[str] | None = None, stem: b
     doc_index = docs.select("doc_id", "doc_no", "doc_len")
     stats = collection_stats(doc_index)
     postings = postings_of(docs)
-    return Index(doc_index, postings, lexicon_of(postings, stats), stats)
+    return Index(doc_index, postings, lexicon_of(postings, stats), stats, docs)
 
 
 def blocks_of(postings: DataFrame) -> DataFrame:

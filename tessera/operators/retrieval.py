@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import scoring as weights
 from tessera.functions import text
-from tessera.operators import blocks
+from tessera.operators import blocks, bulk
 from tessera.operators.index import Index
 from tessera.operators.ranking import top_k
 
@@ -56,13 +56,13 @@ def _ranked(weighted: DataFrame, k: int, conjunctive: bool) -> DataFrame:
 
 
 def _in_blocks(index: Index, queries: DataFrame, scoring: str, k: int, conjunctive: bool, tf_log: str, prune: bool) -> DataFrame | None:
-    """The query set sent to blocks of documents; null where it is too large to be sent."""
+    """The query set sent to blocks of documents, in shares where it is large; null where its vocabulary is too large to be sent."""
     bound = {"tfidf": "max_tfidf", "bm25": "ub_bm25_safe"}.get(scoring)
     if bound is None:
         raise ValueError(f"unknown scoring: {scoring}")
-    known = _known(index, queries).select("query_id", "term", "n_terms", "idf", "df", bound).limit(blocks.MAX_QUERY_TERMS + 1).toArrow()
-    if known.num_rows > blocks.MAX_QUERY_TERMS:
-        return None
+    if queries.limit(blocks.MAX_QUERY_TERMS + 1).count() > blocks.MAX_QUERY_TERMS:
+        return bulk.evaluate(index, queries, scoring, k, conjunctive, tf_log)
+    known = _known(index, queries).select("query_id", "term", "n_terms", "idf", "df", bound).toArrow()
     k = max(k, 1)
     sent, terms = blocks.query_set(known, bound)
     spark = index.postings.sparkSession
@@ -137,7 +137,8 @@ def postings_read(index: Index, queries: DataFrame, scoring: str = "bm25", k: in
 
 
 def daat(index: Index, queries: DataFrame, scoring: str = "bm25", k: int = 10, conjunctive: bool = False, tf_log: str = "log10") -> DataFrame:
-    """Exhaustive evaluation, in blocks of documents; for very large query sets by join, aggregation and grouped top-k."""
+    """Exhaustive evaluation, in blocks of documents; where the vocabulary of the queries is too large for that by join,
+    aggregation and grouped top-k."""
     found = _in_blocks(index, queries, scoring, k, conjunctive, tf_log, prune=False)
     return daat_join(index, queries, scoring, k, conjunctive, tf_log) if found is None else found
 
@@ -148,8 +149,8 @@ def daat_join(index: Index, queries: DataFrame, scoring: str = "bm25", k: int =
 
 
 def maxscore(index: Index, queries: DataFrame, scoring: str = "bm25", k: int = 10, conjunctive: bool = False, tf_log: str = "log10") -> DataFrame:
-    """Upper-bound pruning, in blocks of documents against the running k-th score of each query; for very large query
-    sets by ``maxscore_join``. Conjunctive matching has nothing to prune this way and is evaluated exhaustively."""
+    """Upper-bound pruning, in blocks of documents against the running k-th score of each query; for large query
+    vocabularies by ``maxscore_join``. Conjunctive matching has nothing to prune this way and is evaluated exhaustively."""
     if conjunctive:
         return daat(index, queries, scoring, k, True, tf_log)
     if tf_log != "log10" and scoring == "bm25":

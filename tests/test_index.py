@@ -285,3 +285,34 @@ def test_cut_and_release(spark):
     lineage.release(kept)
     lineage.release(spark.range(1))
     assert not path.exists()
+
+
+@pytest.mark.parametrize("scoring", ["tfidf", "bm25"])
+def test_large_query_sets_make_no_row_of_a_match(spark, scoring, monkeypatch, tmp_path):
+    """A query set over the bound is dealt out to tasks; the join plan, whose matches fill the disks, is not taken."""
+    import random
+
+    from tessera.operators import blocks, bulk
+
+    rng = random.Random(8)
+    words = [f"w{int(rng.paretovariate(0.7))}" for _ in range(4000)]
+    rows = [(i, str(i), " ".join(rng.choice(words) for _ in range(rng.randint(0, 25)))) for i in range(300)] + [(300, "300", "every " * 9), (301, "301", None)]
+    rows = [(i, n, t if t is None else t + " every") for i, n, t in rows]
+    queries = [(q, " ".join(rng.choice(words) for _ in range(rng.randint(1, 5)))) for q in range(40)] + [(90, None), (91, ""), (92, "unknown w1"), (93, "w1 unknown w2"), (94, "every"), (95, "every w1")]
+    queries += [(q + 1000, " ".join(reversed((t or "").split()))) for q, t in queries]
+    built = index.build(documents(spark, rows))
+    parsed = retrieval.parse_queries(spark.createDataFrame(queries, "query_id int, text string"))
+    stored = store.save(built, str(tmp_path / "i"))
+    monkeypatch.setattr(blocks, "MAX_QUERY_TERMS", 3)
+    monkeypatch.setattr(bulk, "BLOCK", 64)
+    monkeypatch.setattr(bulk, "CELLS", 2000)
+    for name in ("daat_join", "maxscore_join"):
+        monkeypatch.setattr(retrieval, name, None)
+    rank = lambda df: {(r["query_id"], r["rank"], r["doc_id"]) for r in df.collect()}
+    for conjunctive in (False, True):
+        want = brute(rows, queries, scoring, 7, conjunctive)
+        for at in (built, stored):
+            found = retrieval.daat(at, parsed, scoring, 7, conjunctive)
+            assert found.schema["query_id"].dataType.simpleString() == "int" and found.columns == ["query_id", "rank", "doc_id", "score"]
+            assert rank(found) == want
+        assert rank(retrieval.maxscore(built, parsed, scoring, 7, conjunctive)) == want
