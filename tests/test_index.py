@@ -316,3 +316,16 @@ def test_large_query_sets_make_no_row_of_a_match(spark, scoring, monkeypatch, tm
             assert found.schema["query_id"].dataType.simpleString() == "int" and found.columns == ["query_id", "rank", "doc_id", "score"]
             assert rank(found) == want
         assert rank(retrieval.maxscore(built, parsed, scoring, 7, conjunctive)) == want
+
+
+def test_ties_in_large_query_sets(spark, monkeypatch):
+    """TF-IDF gives many documents the same score: the smallest ids win, also where their blocks come last."""
+    from tessera.operators import blocks, bulk
+
+    monkeypatch.setattr(blocks, "MAX_QUERY_TERMS", 1)
+    monkeypatch.setattr(bulk, "BLOCK", 16)
+    monkeypatch.setattr(retrieval, "daat_join", None)
+    rows = [(i, str(i), "mast " + "oar " * (i % 3 == 0) + f"w{i} " * (200 - i)) for i in range(200)]
+    parsed = retrieval.parse_queries(spark.createDataFrame([(1, "mast oar"), (2, "oar mast"), (3, "oar")], "query_id int, text string"))
+    found = {(r["query_id"], r["rank"], r["doc_id"]) for r in retrieval.daat(index.build(documents(spark, rows)), parsed, "tfidf", 5).collect()}
+    assert found == {(q, i + 1, 3 * i) for q in (1, 2, 3) for i in range(5)}
