@@ -329,3 +329,27 @@ def test_ties_in_large_query_sets(spark, monkeypatch):
     parsed = retrieval.parse_queries(spark.createDataFrame([(1, "mast oar"), (2, "oar mast"), (3, "oar")], "query_id int, text string"))
     found = {(r["query_id"], r["rank"], r["doc_id"]) for r in retrieval.daat(index.build(documents(spark, rows)), parsed, "tfidf", 5).collect()}
     assert found == {(q, i + 1, 3 * i) for q in (1, 2, 3) for i in range(5)}
+
+
+@pytest.mark.parametrize("how", ["stemmed", "maxscore", "facade", "ln"])
+def test_every_way_in_takes_large_query_sets(spark, how, monkeypatch):
+    """Stemming, pruning, the facade and the natural logarithm over a large query set: the rows of the join plan, without it."""
+    from tessera.operators import blocks
+
+    stops, stem = (["the"], True) if how == "stemmed" else (None, False)
+    rows = [(i, f"d{i}", " ".join(["the rowing boats"] * (i % 3 + 1) + [f"harbour{i % 7}s"] * (i % 5) + ["ferries"] * (i % 2))) for i in range(60)]
+    topics = spark.createDataFrame([(1, "the boat row"), (2, "boats harbour3s ferries"), (3, "ferries harbour3s the"), (4, "none")], "query_id int, text string")
+    built = index.build(documents(spark, rows), stops, stem)
+    parsed = retrieval.parse_queries(topics, stops, stem)
+    scoring, more = ("tfidf" if how == "maxscore" else "bm25"), {"tf_log": "ln"} if how == "ln" else {}
+    want = {tuple(r) for r in retrieval.daat_join(built, parsed, scoring, 7, **more).collect()}
+    monkeypatch.setattr(blocks, "MAX_QUERY_TERMS", 2)
+    for name in ("daat_join", "maxscore_join"):
+        monkeypatch.setattr(retrieval, name, None)
+    if how == "facade":
+        found = SearchEngine(built).search_batch(topics, k=7)
+        assert all(r["doc_no"] == f"d{r['doc_id']}" for r in found.collect())
+        found = found.drop("doc_no")
+    else:
+        found = retrieval.search(built, parsed, scoring, "maxscore" if how == "maxscore" else "daat", 7, **more)
+    assert {tuple(r) for r in found.select("query_id", "rank", "doc_id", "score").collect()} == want and want
