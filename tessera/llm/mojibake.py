@@ -1,8 +1,8 @@
 """Problem 4: text decoded in another encoding than it was written in, by a hidden Markov model.
 
 One state stands for clean text and one for each encoding pair (written in, read as). A character is emitted given the
-one before it; the tables of the clean state are counted on a bounded sample of sound texts, those of a pair on the same
-sample put through that pair. The best path (Viterbi) labels every character; each labelled span gets its state's inverse
+one before it; the tables of the clean state are counted on all sound texts, those of a pair on the same texts put through
+that pair, by tasks. The best path (Viterbi) labels every character; each labelled span gets its state's inverse
 transform, and a span that does not survive the inverse exactly is left as it is.
 
 Pure ASCII emits alike in all states, so texts without other characters are clean without a look, and a text is clean
@@ -14,18 +14,24 @@ from __future__ import annotations
 import collections
 import re
 from collections.abc import Callable, Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm import sampling
+from tessera.plans.lineage import cut, release
 
-#: Most sound texts the tables are counted on.
-SAMPLE = 2_000
+#: Texts of a source, and of them in capitals, that its counts over all its texts are scaled to; characters of lines rich in
+#: characters beyond ASCII that those of the other states are scaled to.
+MASS, CAPITALS, SHARE = 2_000, 200, 400_000
+#: Scaled counts from which a pair or a word is known, and from which a pair has its own row.
+OFTEN, LEAST = 0.5, 0.25
+#: Characters of a piece.
+PIECE = 1024
 
 # The encoding pairs (written in, read as, how often in turn).
 PAIRS = (
@@ -62,6 +68,7 @@ _WORD = re.compile(r"[^\W\d_]+")
 _ODD = re.compile(r"[^\x00-\x7F]+")
 _CUT = re.compile(rb"(?<=[\xc2-\xf4]) |(?<=[\xe0-\xf4][\x80-\xbf]) ")
 _FIRST = 11
+_CLASS = {c: "a" if c.islower() else "A" if c.isupper() else "0" if c.isdigit() else " " if c.isspace() else "." for c in map(chr, range(128))}
 
 #: Characters that are labelled at once; longer texts take several windows and give the same path.
 WINDOW = 1 << 14
@@ -118,6 +125,7 @@ def restore(text: str, pair: Pair) -> str | None:
     return text
 
 
+@lru_cache(maxsize=2)
 def _symbols(known: str) -> np.ndarray:
     """Symbol of every code point: ASCII classes, single characters of small scripts, and frequent or other ideographs."""
     out = np.full(0x110000, OTHER, dtype=np.int16)
@@ -173,64 +181,200 @@ Table = tuple[np.ndarray, np.ndarray, np.ndarray]
 @dataclass(frozen=True)
 class Counts:
     """symbols by code point; states: what each encoding pair makes of sound texts, as single symbols, keys of pairs of
-    symbols, and how often these occur."""
+    symbols, and how often these occur; clean: the same of the sound texts; words: those that are not ASCII."""
 
     symbols: np.ndarray
     states: tuple[Table, ...]
     pairs: tuple[Pair, ...]
+    clean: Table
+    words: frozenset[str]
+
+
+def _observed(texts: list[str]) -> pa.RecordBatch:
+    """What the tables need of sound texts, as rows of (kind, value, rich, plain) that are summed up: pieces are runs of
+    characters beyond ASCII between the classes of their neighbours, counted by whether their line is rich in such
+    characters; then words, ideographs and totals."""
+    found: dict[tuple[str, str], list[int]] = collections.defaultdict(lambda: [0, 0])
+    words: collections.Counter[str] = collections.Counter()
+    lines: tuple[list[str], list[str]] = ([], [])
+    for text in texts:
+        if not text or LOST in text:
+            continue
+        found["total", "texts"][0] += 1
+        for line in [text] if text.isascii() else text.split("\n"):
+            if line.isascii():
+                lines[1].append(line)
+                continue
+            runs = list(_ODD.finditer(line))
+            side = int(sum(m.end() - m.start() for m in runs) * 20 <= len(line))
+            lines[side].append(line)
+            words.update(w.lower() for w in _WORD.findall(line) if not w.isascii())
+            for m in runs:
+                start, end = m.span()
+                around = _CLASS[line[start - 1]] if start else " ", _CLASS[line[end]] if end < len(line) else " "
+                for i in range(start, end, PIECE):  # the parts of a very long run share a character
+                    piece = (around[0] if i == start else "") + line[i : min(end, i + PIECE + 1)] + (around[1] if i + PIECE >= end else "")
+                    found["piece", piece][side] += 1
+    for side in (0, 1):
+        s = _symbols("")[code_points("\n".join([*lines[side], ""]))]
+        for symbol, n in enumerate(np.bincount(s, minlength=5)[:5]):
+            found["total", str(symbol)][side] += int(n)
+        found["total", "characters"][side] += len(s)
+        for c, n in collections.Counter("".join("".join(_ODD.findall(x)) for x in lines[side])).items():
+            if _symbols("")[ord(c)] == RARE:
+                found["ideograph", c][side] += n
+    for word, n in words.items():
+        found["word", word][0] += n
+    return pa.RecordBatch.from_pydict(
+        {"kind": [k for k, _ in found], "value": [v for _, v in found], "rich": [n for n, _ in found.values()], "plain": [n for _, n in found.values()]},
+        schema=pa.schema([("kind", pa.string()), ("value", pa.string()), ("rich", pa.int64()), ("plain", pa.int64())]),
+    )
+
 
-    def of(self, text: str) -> Table:
-        size = int(self.symbols.max()) + 1
-        s = self.symbols[code_points(text)].astype(np.int64)
-        key = s[:-1] * size + s[1:]
-        keys, n = np.unique(key[(s[:-1] > 4) | (s[1:] > 4)], return_counts=True)
-        return np.bincount(s, minlength=size).astype(np.float64), keys, n.astype(np.float64)
-
-
-def _whole(texts: list[str]) -> tuple[list[str], str]:
-    """Sound texts, and some of them in capitals, which keep capital letters within words from looking strange."""
-    texts = [t for t in texts if t and LOST not in t]
-    return texts, "\n".join(t.upper() for t in texts[:: max(1, len(texts) // 200)])
-
-
-def count(texts: list[str], pairs: tuple[Pair, ...] = PAIRS, share: int = 400_000) -> Counts:
-    """Counts of the pairs on the first ``share`` characters of sound texts, foreign ones first."""
-    texts, capitals = _whole(texts)
-    seen = collections.Counter("\n".join(texts))
-    base = Counts(_symbols("".join(c for c, n in seen.items() if n > 1)), (), pairs)
-    # what these tables need most is characters beyond ASCII, of every script
-    every = [x for t in texts for x in t.split("\n") if x]
-    odd = [sum(map(len, _ODD.findall(x))) * 20 > len(x) for x in every]
-    rich, plain = ("\n".join(x for x, o in zip(every, odd) if o == side) for side in (True, False))
-    lines = (rich[:share] + "\n" + plain[: share // 2] + "\n" + capitals[: share // 4]).split("\n")
-    beyond = ["".join(_ODD.findall(x)) for x in lines]
-
-    @lru_cache(maxsize=None)
-    def holding(codec: str) -> list[int]:
-        """Lines that an encoding can hold."""
-        return [i for i, (x, o) in enumerate(zip(lines, beyond)) if not o or len(o) - len(o.encode(codec, "ignore").decode(codec, "ignore")) <= 0.03 * len(x)]
-
-    states = []
-    for pair in pairs:
-        own = range(len(lines)) if pair[0] == "utf-8" else holding(pair[0])
-        read = garble("\n".join(lines[i] for i in own), pair)
-        if pair[0] != "utf-8" and read.count("\n") == len(own) - 1:
-            # what reads alike in both says nothing
-            read = "\n".join(y for i, y in zip(own, read.split("\n")) if not beyond[i] or _alike(beyond[i], y) < 0.4)
-        elif pair[0] == "utf-8":
-            read += "\n" + read[: len(read) // 4].replace("\xa0", " ")  # after white-space cleaning
-        states.append(base.of(read))
-    return Counts(base.symbols, tuple(states), pairs)
-
-
-def fit(texts: list[str], counts: Counts | None = None, seen: dict[Pair, int] | None = None, weight: float = 2.0) -> Model:
-    """A model from sound texts and the counts of the pairs, by default on the same texts. ``seen`` counts spans of each
-    pair in labelled texts, from which the costs of entering a state follow."""
-    counts = counts or count(texts)
-    texts, capitals = _whole(texts)
-    whole = "\n".join(texts) + "\n" + capitals
-    words = frozenset(w.lower() for w in _WORD.findall(whole) if not w.isascii())
-    tables, size = [counts.of(whole), *counts.states], int(counts.symbols.max()) + 1
+@dataclass(frozen=True)
+class Weights:
+    """What an occurrence counts: in the clean state, there in capitals (which keep capital letters within words from looking
+    strange), in the other states on lines rich in characters beyond ASCII, on others, and in capitals."""
+
+    clean: float
+    capitals: float
+    rich: float
+    plain: float
+    capitals_there: float
+
+
+def _weights(totals: dict[str, tuple[int, int]], mass: int) -> Weights:
+    """Every text counts; larger collections are scaled to the mass that the smoothing and the costs were settled at."""
+    texts, (rich, plain) = max(1, totals.get("texts", (0, 0))[0]), totals.get("characters", (0, 0))
+    capitals = min(1.0, CAPITALS / texts)
+    share = lambda most, n: min(1.0, most / max(1.0, n))
+    return Weights(min(1.0, mass / texts), capitals, share(SHARE, rich), share(SHARE / 2, plain), capitals * share(SHARE / 4, (rich + plain) * capitals))
+
+
+def _summed(keys: list[np.ndarray], n: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    every, at = np.unique(np.concatenate(keys), return_inverse=True)
+    return every, np.bincount(at, np.concatenate(n), minlength=len(every))
+
+
+def _keyed(symbols: np.ndarray, pieces: list[str], weight: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of symbols within pieces, and single symbols beyond ASCII as -1 - symbol, with their weights."""
+    code = code_points("\n".join(pieces))
+    s, each = symbols[code].astype(np.int64), weight[np.cumsum(code == 10)]
+    pair = np.flatnonzero(((s[:-1] > 4) | (s[1:] > 4)) & (code[:-1] != 10) & (code[1:] != 10))
+    one = np.flatnonzero(s > 4)
+    return _summed([s[pair] * (int(symbols.max()) + 1) + s[pair + 1], -1 - s[one]], [each[pair], each[one]])
+
+
+class _Neighbours:
+    """Characters of pieces and pairs of neighbours, with their weights: all that is needed where each character is read by
+    itself."""
+
+    def __init__(self, symbols: np.ndarray, pieces: list[str], weight: np.ndarray) -> None:
+        code = code_points("\n".join(pieces))
+        each = weight[np.cumsum(code == 10)]
+        chars, at = np.unique(code, return_inverse=True)
+        inside = np.flatnonzero((code[:-1] != 10) & (code[1:] != 10))
+        pair, self.n = _summed([at[inside] * len(chars) + at[inside + 1]], [each[inside]])
+        self.before, self.after = np.divmod(pair, max(1, len(chars)))
+        self.chars, self.one, self.symbols = [chr(c) for c in chars], np.bincount(at, each, minlength=len(chars)), symbols
+        self.line = self.chars.index("\n") if "\n" in self.chars else -1
+
+    def read(self, pair: Pair) -> tuple[np.ndarray, np.ndarray]:
+        """As ``_keyed`` of what the pair makes of the pieces; characters the first encoding lacks give nothing."""
+        own = [c for i, c in enumerate(self.chars) if i != self.line]
+        read = garble("\n".join(own), pair).split("\n")
+        read = read if len(read) == len(own) else [garble(c, pair) for c in own]
+        if self.line >= 0:
+            read.insert(self.line, "")
+        keys, n = self._keys(read, self.one, self.n)
+        if pair[0] == "utf-8":  # after white-space cleaning
+            blank = np.array(["\xa0" in x for x in read])
+            more, m = self._keys([x.replace("\xa0", " ") for x in read], self.one * blank / 4, self.n * (blank[self.before] | blank[self.after]) / 4)
+            keys, n = keys + more, n + m
+        return _summed(keys, n)
+
+    def _keys(self, read: list[str], one: np.ndarray, n: np.ndarray) -> tuple[list[np.ndarray], list[np.ndarray]]:
+        size, there = int(self.symbols.max()) + 1, np.array([bool(x) for x in read])
+        edge = lambda i: self.symbols[[ord(x[i]) if x else 0 for x in read]].astype(np.int64)
+        first, last = edge(0)[self.after], edge(-1)[self.before]
+        met = there[self.before] & there[self.after] & ((first > 4) | (last > 4)) & (n > 0)
+        s = self.symbols[code_points("".join(read))].astype(np.int64)
+        of = np.repeat(np.arange(len(read)), [len(x) for x in read])
+        within = np.flatnonzero((of[:-1] == of[1:]) & ((s[:-1] > 4) | (s[1:] > 4)))
+        odd = np.flatnonzero(s > 4)
+        return [last[met] * size + first[met], s[within] * size + s[within + 1], -1 - s[odd]], [n[met], one[of[within]], one[of[odd]]]
+
+
+def _tabled(symbols: np.ndarray, pairs: tuple[Pair, ...], w: Weights, batch: pa.RecordBatch, states: bool) -> pa.RecordBatch:
+    """state (-1 for clean), key, n of some pieces."""
+    own = batch.column(0).to_pylist()
+    rich, plain = (np.asarray(batch.column(i).to_numpy(zero_copy_only=False), dtype=np.float64) for i in (1, 2))
+    pieces = own + [x.upper() for x in own]
+    parts = [(-1, *_keyed(symbols, pieces, np.concatenate([(rich + plain) * w.clean, (rich + plain) * w.capitals])))] if own else []
+    weight = np.concatenate([rich * w.rich + plain * w.plain, (rich + plain) * w.capitals_there])
+    neighbours = _Neighbours(symbols, pieces, weight) if states and own else None
+    for state, pair in enumerate(pairs if neighbours else ()):
+        if pair[1] not in _WIDE:
+            parts.append((state, *neighbours.read(pair)))
+            continue
+        # how a character is read depends on those before it
+        read, each = pieces, weight
+        if pair[0] != "utf-8":
+            beyond = ["".join(_ODD.findall(x)) for x in pieces]
+            at = [i for i, o in enumerate(beyond) if len(o.encode(pair[0], "ignore").decode(pair[0], "ignore")) == len(o)]
+            read, each = [pieces[i] for i in at], weight[at]
+        made = garble("\n".join(read), pair).split("\n")
+        made = made if len(made) == len(read) else [garble(x, pair).replace("\n", " ") for x in read]
+        if pair[0] == "utf-8":
+            blank = [i for i, x in enumerate(made) if "\xa0" in x]
+            made, each = made + [made[i].replace("\xa0", " ") for i in blank], np.concatenate([each, each[blank] / 4])
+        if read:
+            parts.append((state, *_keyed(symbols, made, each)))
+    columns = zip(*((np.full(len(k), state, np.int32), k, n) for state, k, n in parts)) if parts else [np.zeros(0, t) for t in (np.int32, np.int64, np.float64)]
+    return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c) if parts else c) for c in columns], names=["state", "key", "n"])
+
+
+def _gathered(rows: pa.Table, state: int, size: int, ascii_: np.ndarray) -> Table:
+    keys, n = (rows[c].to_numpy()[rows["state"].to_numpy() == state] for c in ("key", "n"))
+    one = np.zeros(size)
+    one[:5] = ascii_
+    one[-1 - keys[keys < 0]] = n[keys < 0]
+    order = np.argsort(keys[keys >= 0])
+    return one, keys[keys >= 0][order], n[keys >= 0][order]
+
+
+def _ascii(totals: dict[str, tuple[int, int]], rich: float, plain: float, capitals: float) -> np.ndarray:
+    """Weights of the five classes of ASCII characters."""
+    n = np.array([totals.get(str(i), (0, 0)) for i in range(5)], dtype=np.float64)
+    upper = n.sum(axis=1)
+    upper[1], upper[0] = upper[0] + upper[1], 0
+    return n @ [rich, plain] + upper * capitals
+
+
+def _counts(symbols: np.ndarray, totals: dict, w: Weights, rows: pa.Table, words: frozenset[str], pairs: tuple[Pair, ...]) -> Counts:
+    size = int(symbols.max()) + 1
+    there = _ascii(totals, w.rich, w.plain, w.capitals_there)
+    states = tuple(_gathered(rows, i, size, there) for i in range(len(pairs)))
+    return Counts(symbols, states, pairs, _gathered(rows, -1, size, _ascii(totals, w.clean, w.clean, w.capitals)), words)
+
+
+def fit(texts: list[str], pairs: tuple[Pair, ...] = PAIRS) -> Model:
+    """A model from sound texts at hand."""
+    seen = pa.Table.from_batches([_observed(texts)])
+    of = lambda kind: [r for r in seen.to_pylist() if r["kind"] == kind]
+    totals = {r["value"]: (r["rich"], r["plain"]) for r in of("total")}
+    w = _weights(totals, MASS)
+    symbols = _symbols("".join(r["value"] for r in of("ideograph") if (r["rich"] + r["plain"]) * w.clean >= 1.5))
+    batch = pa.RecordBatch.from_pylist([{k: r[k] for k in ("value", "rich", "plain")} for r in of("piece")], schema=pa.schema([("value", pa.string()), ("rich", pa.int64()), ("plain", pa.int64())]))
+    rows = pa.Table.from_batches([_tabled(symbols, pairs, w, batch, True)])
+    words = frozenset(r["value"] for r in of("word") if r["rich"] * w.clean >= OFTEN)
+    return _model(_counts(symbols, totals, w, rows.filter(pc.greater_equal(rows["n"], LEAST)), words, pairs))
+
+
+def _model(counts: Counts, seen: dict[Pair, int] | None = None, weight: float = 2.0) -> Model:
+    """The model of counts. ``seen`` counts spans of each pair in labelled texts, from which the costs of entering a state
+    follow."""
+    tables, size = [counts.clean, *counts.states], int(counts.symbols.max()) + 1
     all_keys = np.unique(np.concatenate([[0], *(t[1] for t in tables)]).astype(np.int64))  # never without a row
     single, gains = np.empty((size, len(tables))), np.empty((len(all_keys), len(tables)))
     for i, (one, keys, n) in enumerate(tables):
@@ -245,11 +389,11 @@ def fit(texts: list[str], counts: Counts | None = None, seen: dict[Pair, int] |
     # replacement characters are told by themselves, not by a state
     gains[(all_keys % size == 5) | (all_keys // size == 5)] = 0
     single[5] = 0
-    known = np.isin(all_keys, tables[0][1]) & (all_keys % size != RARE) & (all_keys // size != RARE)
+    known = np.isin(all_keys, tables[0][1][tables[0][2] >= OFTEN]) & (all_keys % size != RARE) & (all_keys // size != RARE)
     found = np.array([(seen or {}).get(p, 0) for p in counts.pairs], dtype=np.float64) + 0.3
     enter = ENTER - np.log(found / found.mean()) / 2 if seen else np.full(len(found), ENTER)
     f = lambda x: x.astype(np.float32)
-    return Model(counts.symbols, all_keys, f(gains[:, 1:] - gains[:, :1]), f(single[:, 1:] - single[:, :1]), f(gains[:, 0]), f(single[:, 0]), known, f(enter), words, counts.pairs)
+    return Model(counts.symbols, all_keys, f(gains[:, 1:] - gains[:, :1]), f(single[:, 1:] - single[:, :1]), f(gains[:, 0]), f(single[:, 0]), known, f(enter), counts.words, counts.pairs)
 
 
 class Labeller:
@@ -490,11 +634,11 @@ class Labeller:
             b += 1
         return a, b
 
-    def damage(self, texts: list[str]) -> list[list[tuple[int, int, int, str | None]]]:
+    def damage(self, texts: list[str], labels: list[list[tuple[int, int, int]]] | None = None) -> list[list[tuple[int, int, int, str | None]]]:
         """For each text its checked spans, in order and without overlaps. Spans a few characters apart are first taken
         as one, then each by itself."""
         out = []
-        for text, spans in zip(texts, self.label(texts)):
+        for text, spans in zip(texts, self.label(texts) if labels is None else labels):
             good, at = [], 0
             groups: list[list[tuple[int, int, int]]] = []
             for span in sorted(spans):
@@ -552,16 +696,67 @@ def repaired(text: str, spans: list[tuple[int, int, int, str | None]]) -> tuple[
     return "".join([*out, text[at:]]), all(x[3] is not None for x in spans)
 
 
-def adapt(model: Model, counts: Counts, sound: list[str], others: list[str]) -> Model:
-    """The model with sound texts and those of ``others`` in which no span stands the check as its clean state, and the
-    other states as frequent as found there."""
-    labeller = Labeller(model)
-    spans = labeller.damage(others)
-    # long stretches that were labelled but did not stand the check may be damage of another kind: neither clean nor seen
-    doubtful = [any(len({c for c in t[a:b] if not c.isascii()}) > 5 and restore(t[a:b], model.pairs[s]) != t[a:b] for a, b, s in x if s >= 0) for t, x in zip(others, labeller.label(others))]
-    clean = [t for t, s, d in zip(others, spans, doubtful) if not s and not d]
-    seen = collections.Counter(model.pairs[s[2]] for x in spans for s in x if s[2] >= 0)
-    return fit([*sound, *clean], counts, dict(seen))
+_SEEN = "kind string, value string, rich bigint, plain bigint"
+
+
+def _observing(model=None) -> Callable:
+    """Observations of the texts of a task. With a model only of those in which no span stands the check, and besides how
+    often each pair was found."""
+    cache: list[Labeller] = []
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if model is not None and not cache:
+            cache.append(Labeller(model.value))
+        for batch in batches:
+            texts = batch.column(0).to_pylist()
+            if cache:
+                labels = cache[0].label(texts)
+                spans, pairs = cache[0].damage(texts, labels), cache[0].model.pairs
+                # long stretches that were labelled but did not stand the check may be damage of another kind: neither clean nor seen
+                doubtful = [any(len({c for c in t[a:b] if not c.isascii()}) > 5 and restore(t[a:b], pairs[s]) != t[a:b] for a, b, s in x if s >= 0) for t, x in zip(texts, labels)]
+                seen = collections.Counter(str(s[2]) for x in spans for s in x if s[2] >= 0)
+                texts = [t for t, s, d in zip(texts, spans, doubtful) if not s and not d]
+                n = len(seen)
+                yield pa.RecordBatch.from_arrays([pa.array(["pair"] * n, pa.string()), pa.array(list(seen), pa.string()), pa.array(list(seen.values()), pa.int64()), pa.array([0] * n, pa.int64())], names=["kind", "value", "rich", "plain"])
+            for i in range(0, len(texts), 500):
+                yield _observed(texts[i : i + 500])
+
+    return run
+
+
+def _tabling(shared, states: bool) -> Callable:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(0, batch.num_rows, 5_000):
+                yield _tabled(*shared.value, batch.slice(i, 5_000), states)
+
+    return run
+
+
+def _source(rows: DataFrame, text: str, mass: int, base: Counts | None, model: Model | None, pairs: tuple[Pair, ...]) -> tuple[Counts, dict[Pair, float]]:
+    """Counts over all texts of a source, and how often each pair was found there, scaled alike. What comes to the driver are totals, ideographs, and
+    words and pairs of symbols frequent enough to count, whose number the mass bounds."""
+    send = rows.sparkSession.sparkContext.broadcast
+    texts = rows.select(F.col(text).alias("text")).filter(F.length("text") > 0)
+    found = texts.mapInArrow(_observing(None if model is None else send(model)), _SEEN)
+    kept = cut(found.groupBy("kind", "value").agg(F.sum("rich").alias("rich"), F.sum("plain").alias("plain")))
+    few = {(r["kind"], r["value"]): (r["rich"], r["plain"]) for r in kept.filter("kind IN ('total', 'pair')").collect()}
+    totals = {v: n for (k, v), n in few.items() if k == "total"}
+    w = _weights(totals, mass)
+    often = lambda kind, least: [r["value"] for r in kept.filter((F.col("kind") == kind) & ((F.col("rich") + F.col("plain")) * F.lit(w.clean) >= least)).select("value").collect()]
+    symbols = _symbols("".join(sorted(often("ideograph", 1.5)))) if base is None else base.symbols
+    tabled = kept.filter("kind = 'piece'").select("value", "rich", "plain").mapInArrow(_tabling(send((symbols, pairs, w)), base is None), "state int, key bigint, n double")
+    summed = tabled.groupBy("state", "key").agg(F.sum("n").alias("n")).filter(F.col("n") >= LEAST).toArrow()
+    counts = _counts(symbols, totals, w, summed, frozenset(often("word", OFTEN)), pairs)
+    release(kept)
+    return counts, {pairs[int(v)]: n[0] * w.clean for (k, v), n in few.items() if k == "pair"}
+
+
+def _with(counts: Counts, more: Counts) -> Counts:
+    """The counts with a further source in the clean state."""
+    (one, keys, n), (other, other_keys, m) = counts.clean, more.clean
+    every, at = np.unique(np.concatenate([keys, other_keys]), return_inverse=True)
+    return replace(counts, clean=(one + other, every, np.bincount(at, np.concatenate([n, m]), minlength=len(every))), words=counts.words | more.words)
 
 
 def _labelled(model, restoring: bool) -> Callable:
@@ -591,13 +786,16 @@ def _labelled(model, restoring: bool) -> Callable:
     return run
 
 
-def train(sound: tuple[DataFrame, str, str], others: list[tuple[DataFrame, str, str]], sample: int = SAMPLE) -> Model:
-    """Tables from at most ``sample`` sound texts, adapted on at most ``sample`` texts of each other source. Sources are
-    (rows, text column, column to choose by)."""
-    good = sampling.texts(*sound, sample)
-    mixed = [t for o in others for t in sampling.texts(*o, sample)]
-    counts = count(good)
-    return adapt(fit(good, counts), counts, good, mixed)
+def train(sound: tuple[DataFrame, str, str], others: list[tuple[DataFrame, str, str]], mass: int = MASS) -> Model:
+    """Tables counted on all sound texts, then with those texts of each other source in which no span stands the check as
+    further clean ones, and the other states as frequent as found there. Sources are (rows, text column, key column)."""
+    base, _ = _source(*sound[:2], mass, None, None, PAIRS)
+    first, counts, seen = _model(base), base, collections.Counter()
+    for rows, text, _ in others:
+        more, found = _source(rows, text, mass, base, first, PAIRS)
+        counts = _with(counts, more)
+        seen.update(found)
+    return _model(counts, dict(seen))
 
 
 def damaged(records: DataFrame, key: str, text: str, model: Model, restoring: bool = True) -> DataFrame:

@@ -66,7 +66,7 @@ def p2_ranked(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _damage(spark: SparkSession, sf_dir: str, restoring: bool) -> DataFrame:
-    """Both tables against one model: sound tables from a bounded sample of the corpus, adapted on one of either table."""
+    """Both tables against one model: counted on the whole corpus, adapted on all of either table."""
     passages, topics = table(spark, sf_dir, "passages"), table(spark, sf_dir, "topics")
     model = mojibake.train((table(spark, sf_dir, "documents"), "text", "doc_id"), [(passages, "text", "doc_no"), (topics, "text", "query_id")])
     of = lambda rows, key, name: mojibake.damaged(rows, key, "text", model, restoring).withColumn("tbl", F.lit(name))

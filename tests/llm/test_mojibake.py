@@ -106,3 +106,12 @@ def test_memory_of_a_very_long_text(texts, model):
     peak = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
     assert found and len(text) > 300_000 and peak < 45_000_000
+
+
+def test_tables_come_from_every_text(spark):
+    """Not from a sample: words of either half of a corpus are known at the mass of a single text, and so at any partitioning."""
+    rows = spark.createDataFrame([(i, "le thé froid" if i % 2 else "зелёный жук") for i in range(40)], "doc_id long, text string")
+    other = spark.createDataFrame([(i, "un café chaud") for i in range(40)], "doc_no long, text string")
+    one, five = (mojibake.train((rows.repartition(n), "text", "doc_id"), [(other, "text", "doc_no")], 1) for n in (1, 5))
+    assert {"thé", "зелёный", "жук", "café"} <= one.words == five.words
+    assert (one.keys == five.keys).all() and abs(one.gains - five.gains).max() < 1e-4
