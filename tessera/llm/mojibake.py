@@ -234,13 +234,15 @@ def _observed(texts: list[str]) -> pa.RecordBatch:
 @dataclass(frozen=True)
 class Weights:
     """What an occurrence counts: in the clean state, there in capitals (which keep capital letters within words from looking
-    strange), in the other states on lines rich in characters beyond ASCII, on others, and in capitals."""
+    strange), in the other states on lines rich in characters beyond ASCII, on others, and in capitals; alike: by how much less what reads alike in both encodings, since lines rich in such
+    characters have a larger share there than in the clean state and it would seem to speak for damage."""
 
     clean: float
     capitals: float
     rich: float
     plain: float
     capitals_there: float
+    alike: float
 
 
 def _weights(totals: dict[str, tuple[int, int]], mass: int) -> Weights:
@@ -248,7 +250,9 @@ def _weights(totals: dict[str, tuple[int, int]], mass: int) -> Weights:
     texts, (rich, plain) = max(1, totals.get("texts", (0, 0))[0]), totals.get("characters", (0, 0))
     capitals = min(1.0, CAPITALS / texts)
     share = lambda most, n: min(1.0, most / max(1.0, n))
-    return Weights(min(1.0, mass / texts), capitals, share(SHARE, rich), share(SHARE / 2, plain), capitals * share(SHARE / 4, (rich + plain) * capitals))
+    a, b, c = share(SHARE, rich), share(SHARE / 2, plain), capitals * share(SHARE / 4, (rich + plain) * capitals)
+    alike = min(1.0, (a * rich + b * plain + c * (rich + plain)) / max(1.0, a * (rich + plain)))
+    return Weights(min(1.0, mass / texts), capitals, a, b, c, alike)
 
 
 def _summed(keys: list[np.ndarray], n: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -279,14 +283,15 @@ class _Neighbours:
         self.chars, self.one, self.symbols = [chr(c) for c in chars], np.bincount(at, each, minlength=len(chars)), symbols
         self.line = self.chars.index("\n") if "\n" in self.chars else -1
 
-    def read(self, pair: Pair) -> tuple[np.ndarray, np.ndarray]:
+    def read(self, pair: Pair, alike: float) -> tuple[np.ndarray, np.ndarray]:
         """As ``_keyed`` of what the pair makes of the pieces; characters the first encoding lacks give nothing."""
         own = [c for i, c in enumerate(self.chars) if i != self.line]
         read = garble("\n".join(own), pair).split("\n")
         read = read if len(read) == len(own) else [garble(c, pair) for c in own]
         if self.line >= 0:
             read.insert(self.line, "")
-        keys, n = self._keys(read, self.one, self.n)
+        same = np.array([x == c and not c.isascii() for x, c in zip(read, self.chars)])
+        keys, n = self._keys(read, self.one * np.where(same, alike, 1.0), self.n * np.where(same[self.before] | same[self.after], alike, 1.0))
         if pair[0] == "utf-8":  # after white-space cleaning
             blank = np.array(["\xa0" in x for x in read])
             more, m = self._keys([x.replace("\xa0", " ") for x in read], self.one * blank / 4, self.n * (blank[self.before] | blank[self.after]) / 4)
@@ -315,7 +320,7 @@ def _tabled(symbols: np.ndarray, pairs: tuple[Pair, ...], w: Weights, batch: pa.
     neighbours = _Neighbours(symbols, pieces, weight) if states and own else None
     for state, pair in enumerate(pairs if neighbours else ()):
         if pair[1] not in _WIDE:
-            parts.append((state, *neighbours.read(pair)))
+            parts.append((state, *neighbours.read(pair, w.alike)))
             continue
         # how a character is read depends on those before it
         read, each = pieces, weight
