@@ -18,8 +18,11 @@ MAX_TERM = 30
 
 def clean(text: Column) -> Column:
     """Lower case, ASCII only, markup and punctuation blanked, spaces collapsed. Null gives null."""
-    lowered = F.regexp_replace(F.lower(text), NON_ASCII, " ")
-    return F.trim(F.regexp_replace(F.regexp_replace(lowered, NOISE, " "), SPACES, " "))
+    return F.trim(F.regexp_replace(_without_noise(text), SPACES, " "))
+
+
+def _without_noise(text: Column) -> Column:
+    return F.regexp_replace(F.regexp_replace(F.lower(text), NON_ASCII, " "), NOISE, " ")
 
 
 def tokens(text: Column, stop_words: Sequence[str] | None = None, stem: bool = False) -> Column:
@@ -27,7 +30,8 @@ def tokens(text: Column, stop_words: Sequence[str] | None = None, stem: bool = F
 
     Stop words go before stemming. Only ``stem`` needs Python (one Arrow call a batch).
     """
-    out = F.filter(F.split(F.coalesce(clean(text), F.lit("")), " "), lambda t: t != "")
+    # the words of the cleaned text, without collapsing its spaces first
+    out = F.filter(F.split(F.coalesce(_without_noise(text), F.lit("")), SPACES), lambda t: t != "")
     if stop_words:
         out = F.filter(out, lambda t: ~t.isin(sorted(set(stop_words))))
     if stem:

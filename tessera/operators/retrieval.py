@@ -21,6 +21,7 @@ from tessera.functions import text
 from tessera.operators import blocks, bulk
 from tessera.operators.index import Index
 from tessera.operators.ranking import top_k
+from tessera.plans.lineage import cut, release
 
 #: Most documents that are told to the readers of weak terms' lists.
 MAX_CANDIDATES = 1_000_000
@@ -60,8 +61,13 @@ def _in_blocks(index: Index, queries: DataFrame, scoring: str, k: int, conjuncti
     bound = {"tfidf": "max_tfidf", "bm25": "ub_bm25_safe"}.get(scoring)
     if bound is None:
         raise ValueError(f"unknown scoring: {scoring}")
-    if queries.limit(blocks.MAX_QUERY_TERMS + 1).count() > blocks.MAX_QUERY_TERMS:
-        return bulk.evaluate(index, queries, scoring, k, conjunctive, tf_log)
+    # large sets are read several times: their texts are analysed once
+    kept = cut(queries.select("query_id", "term"))
+    large = kept.count() > blocks.MAX_QUERY_TERMS
+    found = bulk.evaluate(index, kept, scoring, k, conjunctive, tf_log) if large else None
+    release(kept)
+    if large:
+        return found
     known = _known(index, queries).select("query_id", "term", "n_terms", "idf", "df", bound).toArrow()
     k = max(k, 1)
     sent, terms = blocks.query_set(known, bound)

@@ -401,3 +401,40 @@ def test_little_is_weighed_at_once(monkeypatch):
     scorer, docs = _scorer(50, 10), np.arange(20)
     scorer.block(docs, np.ones(20), docs, np.zeros(20, np.int64), np.full(20, 2))
     assert (scorer.doc == np.arange(10)).all() and max(sizes) <= 64
+
+
+def test_large_query_sets_are_analysed_once(spark, monkeypatch):
+    """What the evaluation reads again and again is a stored table of the terms, not the texts."""
+    from tessera.operators import blocks, bulk
+
+    plans = []
+    evaluate = bulk.evaluate
+
+    def looked_at(index_, queries, *how):
+        plans.append(queries._jdf.queryExecution().optimizedPlan().toString())
+        return evaluate(index_, queries, *how)
+
+    monkeypatch.setattr(blocks, "MAX_QUERY_TERMS", 1)
+    monkeypatch.setattr(bulk, "evaluate", looked_at)
+    built = index.build(documents(spark, [(i, f"d{i}", "mast oar" if i % 2 else "oar") for i in range(6)]))
+    parsed = retrieval.parse_queries(spark.createDataFrame([(1, "mast\toar"), (2, "oar")], "query_id int, text string"))
+    found = [(r["query_id"], r["doc_id"]) for r in retrieval.daat(built, parsed, "tfidf", 2).orderBy("query_id", "rank").collect()]
+    assert found == [(1, 1), (1, 3), (2, 0), (2, 1)]
+    assert len(plans) == 1 and "regexp" not in plans[0] and "split" not in plans[0]
+
+
+def test_very_short_documents_are_read_last(spark):
+    """They hold too little of a query to tell what its k best documents reach; the others come by length."""
+    from dataclasses import replace
+
+    import pyarrow as pa
+
+    from tessera.operators import bulk
+
+    built = index.build(documents(spark, [(i, f"d{i}", "oar " * n) for i, n in enumerate([9, 1, 30, 2, 8, 10])]))  # ten on average
+    numbers = spark.createDataFrame([("oar", 0)], "term string, number int")
+    by_length = lambda short: [
+        [r["doc_len"] for r in part] for part in bulk._documents(replace(built, docs=built.docs.coalesce(1)), pa.array(["oar"]), numbers, short).rdd.glom().collect() if part
+    ]
+    assert by_length(True) == [[8, 9, 10, 30, 1, 2]]
+    assert by_length(False) == [[30, 10, 9, 8, 2, 1]]

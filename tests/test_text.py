@@ -31,6 +31,14 @@ def test_tokens_stop_words_and_stems(spark):
     assert got == {0: ["ferri", "harbour"], 1: ["raini", "even"], 2: ["kind", "reward"], 3: [], 4: []}
 
 
+def test_tokens_are_the_words_of_the_cleaned_text(spark):
+    """With any white space, at the ends too, and without a second pass that collapses it."""
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate([*(t for t, _ in CLEAN), "\t a\x0bb\x0c c\r\nd  e \n", "\u00a0x\u2003y", " . "])], "i int, t string")
+    both = rows.select(text.tokens(F.col("t")).alias("x"), text.clean(F.col("t")).alias("c"))
+    assert all(r["x"] == (r["c"] or "").split() for r in both.collect())
+    assert both.select("x")._jdf.queryExecution().optimizedPlan().toString().count("regexp_replace") == 2
+
+
 @pytest.mark.parametrize(("word", "want"), [w.split(":") for w in "swimming:swim floats:float rained:rain fence:fenc simple:simpl decoration:decor opposite:opposit ropes:rope county:counti daily:daili harbours:harbour sky:sky skies:sky dying:die generously:generous hopping:hop hoping:hope relational:relat national:nation agreed:agre feed:feed communism:communism proceed:proceed".split()])
 def test_stem(word, want):
     assert stem(word) == want
